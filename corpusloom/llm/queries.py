@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import simhash
+from corpusloom.llm import bpe, chat, mixing, passages, quality, rules, simhash, token_counts, topk
 
 QUERIES = {
+    "op1_mix_sources": mixing.query,
+    "op2_quality_classifier": quality.query,
+    "op3_chat_format": chat.query,
+    "op5_bpe_round_trip": bpe.query,
+    "op6_substring_dedup": passages.query,
+    "op7_exact_top_k": topk.query,
+    "op8_quality_rules": rules.query,
     "op9_simhash_near_dedup": simhash.query,
+    "op10_token_counts": token_counts.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": chat.SQL,
+    "op7_exact_top_k": topk.SQL,
+    "op8_quality_rules": rules.SQL,
+}
