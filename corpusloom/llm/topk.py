@@ -115,8 +115,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, lists: int = LIST
     shards = max(1, -(-vectors.count() // shard))
     blocks = max(1, -(-queries.count() // block))
     key = F.xxhash64("vec_id", "v")
-    right = vectors.withColumn("shard", F.pmod(key, F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    left = queries.withColumn("block", F.pmod(key, F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+    right = vectors.withColumn("shard", F.pmod(key, F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    left = queries.withColumn("block", F.pmod(key, F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     schema = "query_id long, vec_id long, score long"
     first = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(_search(k, lists, False), schema)
     cutoffs = _merged(first, k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
