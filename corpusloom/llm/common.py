@@ -48,4 +48,5 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def crc_bucket(col: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
-    return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(None)).cast("string")) % n
+    text = (F.col(col) if isinstance(col, str) else col).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % n

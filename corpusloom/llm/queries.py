@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, mixing, passages, quality, rules, simhash, token_counts, topk
+from corpusloom.llm import attention_lm, bpe, chat, mixing, passages, quality, rules, simhash, token_counts, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_quality_classifier": quality.query,
     "op3_chat_format": chat.query,
+    "op4_attention_lm": attention_lm.query,
     "op5_bpe_round_trip": bpe.query,
     "op6_substring_dedup": passages.query,
     "op7_exact_top_k": topk.query,
