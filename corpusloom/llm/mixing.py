@@ -2,11 +2,13 @@
 
 Every source has a weight and shares a budget of words by it; what exceeds a source's cap is shared anew by
 weight among the others. A document of the source then gets target / size copies in expectation: the whole
-part is certain, the fraction is rounded. Two fractional documents are paired and words move between them, at
+part is certain, the fraction is rounded. Fractional documents are paired and words move between them, at
 random in the direction and by the amount that keep every document's expected copies, until one of them is
-integral; the total stays the same to the word. Leaves of a few hundred documents leave one fractional
-document each, these meet again in groups of LEAF, and so on: a reduction tree whose every level is one
-shuffle of narrow rows, a hot source being many leaves. Only the last document of a source is rounded alone.
+integral; the total stays the same to the word. In a leaf of a few hundred documents of one source, the
+largest is paired with all the others together, then the next; the one that stays fractional, a small one as a
+rule, meets those of other leaves in groups of LEAF, pair by pair, and so on: a reduction tree whose every
+level is one shuffle of narrow rows, a hot source being many leaves. Only the last document of a source is
+rounded alone.
 
 Randomness comes from hashes of the seed and the document, so reruns agree.
 
@@ -88,39 +90,67 @@ def _pair(a: list, b: list, seed: int) -> tuple[list, list]:
     return (a, b) if a_done else (b, a)
 
 
-def _leaves(seed: int):
-    """Rows sorted by node, then by size from the largest -> the rows, all of a node integral but one at most."""
+def _first_leaf(docs: list[list], x: float, seed: int) -> None:
+    """Settle the documents [id, size, x] of one leaf, which all have the fraction x, from the largest down.
+
+    Each is paired with all smaller ones together, whose common fraction takes what it gives or gives what
+    it takes; so what stays fractional at the end is the smallest document, as a rule.
+    """
+    docs.sort(key=lambda d: (-d[1], d[0]))
+    rest = sum(d[1] for d in docs)
+    for doc in docs:
+        size = doc[1]
+        rest -= size
+        up, down = min((1 - x) * size, x * rest), min(x * size, (1 - x) * rest)
+        if up + down <= 0:
+            doc[2] = x
+            continue
+        moved = up if _draw(seed, doc[0]) * (up + down) < down else -down
+        doc[2] = x + moved / size
+        x -= moved / rest
+        doc[2], x = (float(round(v)) if abs(v - round(v)) < 1e-9 else v for v in (doc[2], x))
+
+
+def _later_leaf(docs: list[list], seed: int) -> None:
+    """Settle all documents [id, size, x] of one leaf but one, pair by pair from the largest down."""
+    docs.sort(key=lambda d: (-d[1], d[0]))
+    held = None
+    for doc in docs:
+        if held is None:
+            held = doc
+        else:
+            _, held = _pair(held, doc, seed)
+        if not 0.0 < held[2] < 1.0:
+            held = None
+
+
+def _leaves(seed: int, level: int):
+    """Rows sorted by leaf -> the rows, all of a leaf integral but one."""
+
+    def settled(node: tuple, docs: list[list]) -> pd.DataFrame:
+        if level == 0:
+            _first_leaf(docs, docs[0][2], seed)
+        else:
+            _later_leaf(docs, seed + level)
+        return pd.DataFrame([[*node, *d] for d in docs], columns=["source_id", "leaf", "unit", "size", "x"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        node, held = None, None
+        node, docs = None, []
         for batch in batches:
-            done: list[list] = []
-            for unit, source_id, leaf, size, x in zip(*(batch[c].tolist() for c in ("unit", "source_id", "leaf", "size", "x"))):
+            for source_id, leaf, *doc in zip(*(batch[c].tolist() for c in ("source_id", "leaf", "unit", "size", "x"))):
                 if (source_id, leaf) != node:
-                    if held is not None:
-                        done.append(held[3:] + held[:3])
-                    node, held = (source_id, leaf), None
-                now = [unit, size, x, source_id, leaf]
-                if not 0.0 < x < 1.0:
-                    done.append(now[3:] + now[:3])
-                elif held is None:
-                    held = now
-                else:
-                    over, held = _pair(held, now, seed)
-                    done.append(over[3:] + over[:3])
-                    if not 0.0 < held[2] < 1.0:
-                        done.append(held[3:] + held[:3])
-                        held = None
-            if done:
-                yield pd.DataFrame(done, columns=["source_id", "leaf", "unit", "size", "x"])
-        if held is not None:
-            yield pd.DataFrame([held[3:] + held[:3]], columns=["source_id", "leaf", "unit", "size", "x"])
+                    if docs:
+                        yield settled(node, docs)
+                    node, docs = (source_id, leaf), []
+                docs.append(doc)
+        if docs:
+            yield settled(node, docs)
 
     return run
 
 
 def round_fractions(units: DataFrame, seed: int = SEED, leaf: int = LEAF) -> DataFrame:
-    """(unit, source_id, size, x in [0, 1)) -> (unit, taken 0 or 1): the reduction tree."""
+    """(unit, source_id, size, x in [0, 1), the same for all of a source) -> (unit, up 0 or 1): the reduction tree."""
     fields = "source_id long, leaf long, unit long, size long, x double"
     settled = units.filter("x <= 0 or size <= 0").select("unit", F.lit(0).alias("up"))
     live = units.filter("x > 0 and size > 0")
@@ -131,8 +161,8 @@ def round_fractions(units: DataFrame, seed: int = SEED, leaf: int = LEAF) -> Dat
     level = 0
     while True:
         dealt = live.select("source_id", "leaf", "unit", "size", "x").repartition("source_id", "leaf")
-        dealt = dealt.sortWithinPartitions("source_id", "leaf", F.desc("size"), "unit")
-        out = materialize(dealt.mapInPandas(_leaves(seed + level), fields), f"mix-level{level}")
+        dealt = dealt.sortWithinPartitions("source_id", "leaf")
+        out = materialize(dealt.mapInPandas(_leaves(seed, level), fields), f"mix-level{level}")
         parts.append(out.filter("x <= 0 or x >= 1").select("unit", F.col("x").cast("int").alias("up")))
         live = out.filter("x > 0 and x < 1")
         last = live.groupBy("source_id").agg(F.max("leaf").alias("top")).agg(F.max("top")).first()[0]
