@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize
+from corpusloom.llm.common import fresh, materialize
 from corpusloom.llm.graph import components
 
 SHINGLE = 3
@@ -91,8 +91,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows with a null id can't be told apart by name; they all stay.
     """
     found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
-    firsts = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(firsts, docs[id_col].cast("long") == F.col("_first"), "left_semi")
+    (first,) = fresh(docs, "first_id")
+    firsts = found.filter("doc_id = component_id").select(F.col("doc_id").alias(first)).distinct()
+    kept = docs.join(firsts, docs[id_col].cast("long") == firsts[first], "left_semi")
     return kept.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
