@@ -16,9 +16,10 @@ from corpusloom.functions import text as t
 EDGE_LINES, EDGE_CHARS, REPEAT_COUNT, REPEAT_GAP, REPEAT_MIN, REPEAT_MAX = 3, 120, 3, 1000, 8, 120
 DUP_CHARS, DUP_PARAGRAPH, LONG_PARAGRAPH, TOC_ENTRIES = 30, 40, 200, 3
 
-_DOC = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
-_BEFORE = _DOC.rowsBetween(Window.unboundedPreceding, -1)
-_SO_FAR = _DOC.rowsBetween(Window.unboundedPreceding, 0)
+def _doc(last: int | None = None):
+    """The document's order, with rows from its begin to `last` where given."""
+    order = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
+    return order if last is None else order.rowsBetween(Window.unboundedPreceding, last)
 
 
 def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +99,7 @@ def drop_toc(lines: DataFrame) -> DataFrame:
 
 def drop_repeats(lines: DataFrame) -> DataFrame:
     """Header-like lines that recur at least three times, never closer than a thousand characters: the first stays."""
-    rows = lines.withColumn("at", F.coalesce(F.sum(F.greatest(F.length("line"), F.col("is_barrier").cast("int")) + 1).over(_BEFORE), F.lit(0)))
+    rows = lines.withColumn("at", F.coalesce(F.sum(F.greatest(F.length("line"), F.col("is_barrier").cast("int")) + 1).over(_doc(last=-1)), F.lit(0)))
     size = F.length("line")
     fit = is_content() & size.between(REPEAT_MIN, REPEAT_MAX) & t.may_be_header(F.col("line")) & ~t.is_protected_value(F.col("line"))
     rows = rows.withColumn("key", F.when(fit, t.edge_key(F.col("line"), False)))
@@ -131,7 +132,7 @@ def to_paragraphs(lines: DataFrame) -> DataFrame:
     """(doc_id, para_no, lines array<struct<line, is_barrier>>), blank lines part paragraphs."""
     blank = (F.col("line") == "") & ~F.col("is_barrier")
     rows = lines.withColumn("blank", blank)
-    rows = rows.withColumn("island", F.sum(F.col("blank").cast("int")).over(_SO_FAR)).filter("not blank")
+    rows = rows.withColumn("island", F.sum(F.col("blank").cast("int")).over(_doc(last=0))).filter("not blank")
     grouped = rows.groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct("page_no", "line_no", "line", "is_barrier"))).alias("rows"))
     para = F.row_number().over(Window.partitionBy("doc_id").orderBy("island")) - 1
     parts = F.transform("rows", lambda r: F.struct(r["line"].alias("line"), r["is_barrier"].alias("is_barrier")))

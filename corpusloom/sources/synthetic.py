@@ -78,3 +78,10 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         if f" {name}" in sql.replace("\n", " "):
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return spark.sql(sql)
+
+
+#: doc_id, text: four pages that end in a bare page number, the second one's place shifted in every third document.
+NUMBERED = "select c_custkey as doc_id, concat(%s) as text from customer" % ", chr(12), ".join(
+    f"concat('Page text {p} of ', c_name, chr(10), 'value', chr(10), '12', chr(10), 'more', chr(10), 'lines', chr(10), 'here', chr(10), cast({p} + case when {p} = 2 and c_custkey % 3 = 0 then 5 else 0 end as string), case when c_custkey % 2 = 0 then '/4' else '' end)"
+    for p in (1, 2, 3, 4)
+)
