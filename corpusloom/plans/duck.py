@@ -82,9 +82,9 @@ sz as (select *, count(found) over (partition by doc_id, solid, run) as size, su
 kept as (select * from sz where not (entry and size >= 3 and 3 * hits >= 2 * size))
 """
 
-REPEATS = f""", at as (select *, coalesce(sum(greatest(length(line), is_barrier::int) + 1) over (partition by doc_id order by page_no, line_no rows between unbounded preceding and 1 preceding), 0) as at from cl),
-ky as (select *, case when line <> '' and not is_barrier and length(line) between 8 and 120 and {MAY_BE_HEADER} and not {PROTECTED} then {_key(False)} end as key from at),
-gp as (select *, at - lag(at) over (partition by doc_id, key order by page_no, line_no) as gap, row_number() over (partition by doc_id, key order by page_no, line_no) as rn from ky),
+REPEATS = f""", ps as (select *, coalesce(sum(greatest(length(line), is_barrier::int) + 1) over (partition by doc_id order by page_no, line_no rows between unbounded preceding and 1 preceding), 0) as pos from cl),
+ky as (select *, case when line <> '' and not is_barrier and length(line) between 8 and 120 and {MAY_BE_HEADER} and not {PROTECTED} then {_key(False)} end as key from ps),
+gp as (select *, pos - lag(pos) over (partition by doc_id, key order by page_no, line_no) as gap, row_number() over (partition by doc_id, key order by page_no, line_no) as rn from ky),
 ag as (select *, count(key) over (partition by doc_id, key) as n, min(gap) over (partition by doc_id, key) as least from gp),
 kept as (select * from ag where not coalesce(key is not null and n >= 3 and least >= 1000 and rn > 1, false))
 """
@@ -178,9 +178,9 @@ DEPENDENTS = """, has as (select doc_id, list(field) filter (where value is not
 select doc_id, field, case when field = 'currency' and not list_contains(coalesce(filled, []), 'amount') then null
   when field = 'notice_period_value' and not list_contains(coalesce(filled, []), 'notice_period_unit') then null else value end as value from m join has using (doc_id)"""
 
-NOTES = """, n as (select doc_id, 0 as kind, min(call_no)::varchar as at, value as note from a where field = 'vendor_name' and trim(value) <> '' group by doc_id, value
+NOTES = """, n as (select doc_id, 0 as kind, min(call_no)::varchar as place, value as note from a where field = 'vendor_name' and trim(value) <> '' group by doc_id, value
   union all select doc_id, 1, field, 'Conflicting values for ' || field || '.' from m where conflict)
-select doc_id, string_agg(note, chr(10) order by kind, at, note) as notes from n group by doc_id"""
+select doc_id, string_agg(note, chr(10) order by kind, place, note) as notes from n group by doc_id"""
 
 GOLD = """, g as (select c_custkey as doc_id, unnest(['amount', 'vendor_name', 'currency', 'notice_period_value']) as field from customer)
 select g.doc_id, g.field, case g.field when 'amount' then value is not distinct from '450' when 'vendor_name' then contains(lower(coalesce(value, '')), 'muster') and contains(lower(coalesce(value, '')), 'gmbh')
