@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
-from corpusloom.operators import lines, merge, planning, routing, scoring
+from corpusloom.functions import validate
+from corpusloom.operators import lines, merge, model, planning, routing, scoring
 from corpusloom.plans import duck
-from corpusloom.sources import synthetic
+from corpusloom.sources import files, synthetic
+from corpusloom.streaming import landing
 
+BOM = chr(0xFEFF)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -393,3 +396,66 @@ def _(spark, sf_dir):
         F.when(k % 2 == 1, 3).alias("notice_period_value"), (k % 5 == 0).alias("auto_renewal"), F.when(k % 2 == 0, 12).alias("renewal_period_value"),
     )
     return merge.findings(rows).select("doc_id", F.array_join("findings", ",").alias("findings"))
+
+
+# --- Files, calls, checks and reports ---------------------------------------------------------------------
+@query(
+    "s02_s07_magic_check",
+    """with f as (select doc_id, case doc_id % 4 when 0 then 'pdf' when 1 then 'png' when 2 then 'txt' else 'exe' end as ext, case when doc_id % 3 = 0 then '%PDF-' || text else text end as body from documents)
+    select doc_id, case when ext = 'exe' then 'unsupported_format' when ext = 'pdf' and not starts_with(body, '%PDF-') then 'invalid_file' when ext = 'png' then 'invalid_file' end as error_code from f""",
+)
+def _(spark, sf_dir):
+    k = F.col("doc_id")
+    ext = F.when(k % 4 == 0, "pdf").when(k % 4 == 1, "png").when(k % 4 == 2, "txt").otherwise("exe")
+    body = F.when(k % 3 == 0, F.concat(F.lit("%PDF-"), "text")).otherwise(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", files.magic_error(body.cast("binary"), ext).alias("error_code"))
+
+
+@query("s08_decode_text", "select doc_id, sha256(text) as digest from documents")
+def _(spark, sf_dir):
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(BOM), "text")).otherwise(F.col("text")).cast("binary")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(files.decode_text(raw).cast("binary"), 256).alias("digest"))
+
+
+_SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": ["amount", "currency"],
+    "properties": {"amount": {"type": ["number", "null"], "minimum": 0}, "currency": {"type": ["string", "null"], "pattern": "^[A-Z]{3}$"}},
+}
+
+
+@query(
+    "p23_schema_validity",
+    """select o_orderkey as doc_id, concat_ws(',', case when o_orderkey % 4 = 0 then '$.currency: required' end,
+    case when o_orderkey % 5 = 0 then '$.extra: additionalProperties' end, case when o_orderkey % 3 = 0 then '$.amount: minimum' end) as problems from orders""",
+)
+def _(spark, sf_dir):
+    k = F.col("o_orderkey")
+    raw = F.concat(
+        F.lit('{"amount": '), F.when(k % 3 == 0, "-1").otherwise("1.5"), F.when(k % 4 != 0, ', "currency": "EUR"').otherwise(""),
+        F.when(k % 5 == 0, ', "extra": 1').otherwise(""), F.lit("}"),
+    )
+    rows = _table(spark, sf_dir, "orders").select(k.alias("doc_id"), validate.invalid(raw, _SCHEMA).alias("p"))
+    return rows.select("doc_id", F.array_join("p", ",").alias("problems"))
+
+
+@query("c07_run_calls")
+def _(spark, sf_dir):
+    docs = _contracts(spark, sf_dir).select("doc_id", F.lit(0).alias("call_no"), "text", F.substring("text", 1, 200).alias("reduced"))
+    return model.run_calls(docs, model.EchoClient(invalid_first=True), model.Profile("small", "echo"), _SCHEMA)
+
+
+@query(
+    "c22_corpus_report",
+    """select coalesce(lang, 'all') as lang, coalesce(bucket, 'all') as bucket, count(*) as n, sum(n_chars)::bigint as chars from
+    (select lang, n_chars, case when n_chars <= 8000 then 'direct' else 'reduced' end as bucket from documents) group by rollup (lang, bucket)""",
+)
+def _(spark, sf_dir):
+    bucket = F.when(F.col("n_chars") <= 8000, "direct").otherwise("reduced").alias("bucket")
+    rows = _table(spark, sf_dir, "documents").select("lang", bucket, "n_chars")
+    done = rows.rollup("lang", "bucket").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return done.select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("bucket", F.lit("all")).alias("bucket"), "n", "chars")
+
+
+@query("st_windowed_events", "select time_bucket(interval '5 minutes', ts) as start, event_type, count(*) as n from events group by 1, 2")
+def _(spark, sf_dir):
+    return landing.windowed_counts(_table(spark, sf_dir, "events"), "ts", "event_type")
