@@ -24,7 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WORD, fresh, materialize, read_table
@@ -43,10 +43,14 @@ def words(text: Column) -> Column:
 
 def source_targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size) -> with weight and target. Sources rank by code point, null last; weights repeat by rank."""
-    spark = sizes.sparkSession
-    ranked = sizes.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex()
-    rows = ranked.map(lambda x: (x[0]["source"], int(x[0]["source_size"]), float(weights[x[1] % len(weights)])))
-    table = materialize(spark.createDataFrame(rows, "source string, source_size long, weight double"), "mix-sources")
+    order = F.col("source").asc_nulls_last()
+    ranged = materialize(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-ranged")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    parts = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("before")
+    weight = F.get(F.array(*map(F.lit, weights)), F.pmod(place, F.lit(len(weights))).cast("int"))
+    table = ranged.join(parts, "part").select("source", "source_size", weight.cast("double").alias("weight"))
+    table = materialize(table, "mix-sources")
     budget = share * (table.agg(F.sum("source_size")).first()[0] or 0)
     level, full = 0.0, -1
     while True:  # each round fills at least one more source; two or three rounds as a rule
