@@ -33,7 +33,7 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
 MIN_TEXTS = 20
-MAX_SHARE = 0.02
+MAX_SHARE = 0.1
 MIN_KEPT = 0.3
 _MIX = np.random.default_rng(8).integers(1, 1 << 63, WINDOW, np.uint64) | np.uint64(1)
 _NORMAL = bytes.maketrans(bytes(range(65, 91)) + b"123456789", bytes(range(97, 123)) + b"0" * 9)
@@ -146,7 +146,7 @@ ln as (select source, t, trim(regexp_replace(regexp_replace(translate(l, 'ABCDEF
 ok as (select * from ln where k > 0),
 sz as (select source, count(*) n from u group by 1),
 cm as (select o.source, o.l from ok o join sz on o.source is not distinct from sz.source group by 1, 2, sz.n
-  having count(distinct o.t) > 20 and count(distinct o.t) > 0.02 * sz.n),
+  having count(distinct o.t) > 20 and count(distinct o.t) > 0.1 * sz.n),
 lost as (select o.source, o.t, sum(o.k) lost from ok o join cm on o.source is not distinct from cm.source and o.l = cm.l group by 1, 2),
 dl as (select doc_id, source, t, unnest(string_split(t, chr(10))) l from d),
 dup as (select doc_id, count(*) - count(distinct l) n from dl where regexp_matches(l, '[^\x20\x09-\x0D]') group by 1),
