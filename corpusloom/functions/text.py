@@ -209,6 +209,8 @@ def ends_mid_sentence(line: Column, following: Column) -> Column:
 
 
 JOIN_NONE, JOIN_SPACE, JOIN_HYPHEN, JOIN_WORD = "none", "space", "hyphen", "word"
+#: A logical line of so many characters goes on in lower case (fixed value).
+JOIN_CHARS = 30
 
 
 def wrap_join(line: Column, following: Column, logical_chars: Column) -> Column:
@@ -228,7 +230,7 @@ def wrap_join(line: Column, following: Column, logical_chars: Column) -> Column:
         .when((hyphenated != "") & conjunction, JOIN_SPACE)
         .when(hyphenated != "", JOIN_WORD)
         .when(line.rlike("[.:;!?]$") | is_list_marker(following), JOIN_NONE)
-        .when(lower, F.when(logical_chars >= 30, JOIN_SPACE).otherwise(JOIN_NONE))
+        .when(lower, F.when(logical_chars >= JOIN_CHARS, JOIN_SPACE).otherwise(JOIN_NONE))
         .when(prose, JOIN_SPACE)
         .otherwise(JOIN_NONE)
     )

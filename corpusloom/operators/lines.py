@@ -142,30 +142,38 @@ def to_paragraphs(lines: DataFrame) -> DataFrame:
 def repair_wraps(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, para_no, lines array<string>): wrapped sentences and hyphenated words rejoined, barriers gone.
 
-    A fold over the paragraph's lines whose state is the last physical line, the logical line so far and its length.
+    How a line continues the one before depends on the two lines alone, but for one branch that also asks for
+    the length of the logical line so far. So joins are decided side by side, and a fold over their results
+    only adds up lengths.
     """
-    zero = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(None).cast("string").alias("last"),
-        F.lit(0).alias("chars"), F.lit(False).alias("barrier"),
-    )
-
-    def step(state: Column, row: Column) -> Column:
-        how = F.when(state["last"].isNull() | state["barrier"], t.JOIN_NONE).otherwise(t.wrap_join(state["last"], row["line"], state["chars"]))
-        gap = F.when(how == t.JOIN_HYPHEN, 0).otherwise(1)
+    seen = F.transform("lines", lambda x, i: F.struct(x["line"].alias("line"), x["is_barrier"].alias("is_barrier"), ((i > 0) & F.get(F.col("lines.is_barrier"), i - 1)).alias("walled")))
+    rows = paragraphs.withColumn("solid", F.filter(seen, lambda x: ~x["is_barrier"]))
+
+    def decide(x: Column, i: Column) -> Column:
+        before = F.get(F.col("solid.line"), i - 1)
+        first = (i == 0) | x["walled"]
+        how = F.when(first, t.JOIN_NONE).otherwise(t.wrap_join(before, x["line"], F.lit(t.JOIN_CHARS)))
+        short = F.when(first, t.JOIN_NONE).otherwise(t.wrap_join(before, x["line"], F.lit(0)))
+        return F.struct(x["line"].alias("line"), how.alias("how"), short.alias("short"))
+
+    rows = rows.withColumn("joins", F.transform("solid", decide))
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("chars"))
+
+    def step(state: Column, x: Column) -> Column:
+        how = F.when(state["chars"] >= t.JOIN_CHARS, x["how"]).otherwise(x["short"])
         head = F.when(how == t.JOIN_WORD, F.substr(state["now"], F.lit(1), F.length(state["now"]) - 1)).otherwise(state["now"])
         joined = F.struct(
-            state["done"].alias("done"), F.concat(head, F.when(how == t.JOIN_SPACE, " ").otherwise(""), row["line"]).alias("now"),
-            row["line"].alias("last"), (state["chars"] + F.length(row["line"]) + gap).alias("chars"), F.lit(False).alias("barrier"),
+            state["done"].alias("done"), F.concat(head, F.when(how == t.JOIN_SPACE, " ").otherwise(""), x["line"]).alias("now"),
+            (state["chars"] + F.length(x["line"]) + F.when(how == t.JOIN_HYPHEN, 0).otherwise(1)).alias("chars"),
         )
         closed = F.struct(
-            F.when(state["last"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(state["now"]))).alias("done"),
-            row["line"].alias("now"), row["line"].alias("last"), F.length(row["line"]).alias("chars"), F.lit(False).alias("barrier"),
+            F.when(state["now"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(state["now"]))).alias("done"),
+            x["line"].alias("now"), F.length(x["line"]).alias("chars"),
         )
-        wall = F.struct(state["done"].alias("done"), state["now"].alias("now"), state["last"].alias("last"), state["chars"].alias("chars"), F.lit(True).alias("barrier"))
-        return F.when(row["is_barrier"], wall).when(how == t.JOIN_NONE, closed).otherwise(joined)
+        return F.when(how == t.JOIN_NONE, closed).otherwise(joined)
 
-    finish = lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
-    return paragraphs.select("doc_id", "para_no", F.aggregate("lines", zero, step, finish).alias("lines")).filter(F.size("lines") > 0)
+    finish = lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
+    return rows.select("doc_id", "para_no", F.aggregate("joins", zero, step, finish).alias("lines")).filter(F.size("lines") > 0)
 
 
 def drop_duplicate_paragraphs(paragraphs: DataFrame) -> DataFrame:
