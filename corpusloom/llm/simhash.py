@@ -7,6 +7,13 @@ brings equal variants together, and members of one variant's group differ by 2r
 to the smallest of its group and the link is verified. A group holds at most one ball (65 at radius 1), so
 no list of pairs arises however many documents share a fingerprint.
 
+That is op9's contract (near_prints). For whole documents 64 bits are too coarse: a similarity of 0.8 over
+five-word shingles is some 10 bits. near_duplicates, the pipeline's stage, takes min-hashes of the shingles
+instead: texts that agree on all ROWS minima of one of BANDS bands are candidates, each is compared with the
+band's leader by exact shingle sets, and those it doesn't explain are compared again under a leader of their
+own, in groups split by one more min-hash, until no group has two or the EXTRA hashes are used up. A pair of
+similarity 0.8 shares no band with probability 0.2 %.
+
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like any other; a text with
 fewer words than a shingle is one shingle; repeated rows and null ids keep their rows; a component whose ids
 are all null has a null component_id; further columns are ignored.
@@ -24,10 +31,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fresh, materialize
 from corpusloom.llm.graph import components
+from corpusloom.llm.passages import shingle_hashes, word_hashes
 
 SHINGLE = 3
 RADIUS = 1
 SEED = 42
+#: Least similarity (equal shingles over the union) of near-duplicate documents, over shingles of five words.
+SIMILARITY = 0.8
+BANDS, ROWS, EXTRA = 16, 5, 8
+_DRAW = np.random.default_rng(9).integers(1, 1 << 63, (2, BANDS * ROWS + EXTRA), np.uint64)
+_TIMES, _PLUS = _DRAW[0] << np.uint64(1) | np.uint64(1), _DRAW[1]
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -74,7 +87,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2 * radius)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id), a row for each of docs; component_id is the smallest id reachable."""
     prints = materialize(with_fingerprint(docs, id_col, text_col, shingle), "simhash-prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
@@ -85,6 +98,103 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: bytes | None) -> tuple[int, np.ndarray]:
+    """(hash of the words, sorted distinct hashes of the five-word shingles); fewer words are one shingle, none an empty set."""
+    with np.errstate(over="ignore"):
+        words = word_hashes([text or b""])[0]
+        found = shingle_hashes(words)
+    node = xxhash.xxh3_64_intdigest(words.tobytes())
+    if len(words) and not len(found):
+        found = np.array([node], np.uint64)
+    return node - (1 << 63), np.unique(found)
+
+
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over a set that isn't empty."""
+    out = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), 2048):
+            np.minimum(out, (shingles[at : at + 2048, None] * _TIMES + _PLUS).min(axis=0), out=out)
+    return out
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same / max(1, len(a) + len(b) - same)
+
+
+def _nodes(docs: DataFrame, hashed: bool) -> DataFrame:
+    """(doc_id, text) -> (doc_id, node, keys, extra) with the bands' keys, or (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, keys, extras = [], [], []
+            for t in batch.column(1).cast(pa.binary()):
+                node, shingles = shingle_set(t.as_py())
+                nodes.append(node)
+                if hashed:
+                    low = minima(shingles) if len(shingles) else np.zeros(0, np.uint64)
+                    bands = low[: BANDS * ROWS].reshape(-1, ROWS)
+                    keys.append([xxhash.xxh3_64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bands)])
+                    extras.append(low[BANDS * ROWS :].view(np.int64))
+            if hashed:
+                arrays = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(extras, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "keys", "extra"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(1)], ["node", "text"])
+
+    return docs.mapInArrow(run, "doc_id long, node long, keys array<long>, extra array<long>" if hashed else "node long, text string")
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, text, other) -> those (u, v) that are similar enough."""
+    held, shingles = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        good = []
+        for v, text, other in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
+            if v != held:
+                held, shingles = v, shingle_set(other.as_py())[1]
+            good.append(similarity(shingle_set(text.as_py())[1], shingles) >= SIMILARITY)
+        kept = batch.filter(pa.array(good, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["u", "v"])
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (u, v) of nodes (node, keys, extra) whose texts are at least SIMILARITY alike."""
+    members = nodes.select("node", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top")).filter("lead < top").select("key")
+    open_ = materialize(members.join(shared, "key").select("key", "node"), "simhash-open")
+    texts = _nodes(docs, False).join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = materialize(texts, "simhash-texts")
+    found = None
+    for turn in range(EXTRA + 1):
+        leads = open_.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("top")).filter("v < top").select("key", "v")
+        led = materialize(open_.withColumnRenamed("node", "u").join(leads, "key").filter("u <> v"), "simhash-led")
+        if led.isEmpty():
+            break
+        pairs = led.select("u", "v").distinct()
+        pairs = pairs.join(texts.select(F.col("node").alias("u"), "text"), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("other")), "v")
+        good = materialize(pairs.select("u", "v", "text", "other").mapInArrow(_similar, "u long, v long"), "simhash-similar")
+        found = good if found is None else found.union(good)
+        if turn < EXTRA:
+            rest = led.join(good, ["u", "v"], "left_anti").join(nodes.select(F.col("node").alias("u"), F.col("extra")[turn].alias("more")), "u")
+            open_ = materialize(rest.select(F.xxhash64("key", "more").alias("key"), F.col("u").alias("node")), "simhash-open")
+    return docs.sparkSession.createDataFrame([], "u long, v long") if found is None else found
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, node, component_id), a row for each of docs; component_id is the smallest id reachable over similar texts."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints = materialize(_nodes(source, True), "simhash-prints")
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("extra").alias("extra"))
+    nodes = materialize(nodes, "simhash-nodes")
+    roots = components(similar_links(source, nodes), "simhash-links")
+    rooted = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    classes = materialize(rooted.join(least, "root").select("node", "component_id"), "simhash-classes")
+    return prints.join(classes, "node").select("doc_id", "node", "component_id")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the smallest id. Repeated rows of it leave one row.
 
@@ -100,5 +210,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def query(spark, sf_dir: str) -> DataFrame:
     from corpusloom.llm.common import read_table
 
-    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    found = near_prints(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -60,6 +60,26 @@ def test_long_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(1, 201)) and all(got[1000 + i] == 1000 for i in range(1, 300))
 
 
+def test_documents_with_one_to_five_changed_words_are_near_duplicates(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    rows, near, far = [], [], []
+    for d in range(600):
+        words = [word() for _ in range(rnd.randint(60, 400))]
+        copy = list(words)
+        for at in rnd.sample(range(len(words)), 1 + d % 5):
+            copy[at] = word()
+        a, b = shingles(words), shingles(copy)
+        (near if len(a & b) >= 0.8 * len(a | b) else far).append(1000 + d)
+        rows += [(d, " ".join(words)), (1000 + d, " ".join(copy))]
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print(f"recall {1 - len(kept & set(near)) / len(near)} of {len(near)}, {len(far)} farther")
+    assert len(near) > 400 and len(far) > 20
+    assert len(kept & set(near)) <= 0.005 * len(near)
+    assert kept >= {*range(600), *far}
+
+
 def test_edges(edge, clash, empty):
     rows = simhash.near_duplicates(edge).collect()
     assert len(rows) == edge.count()
