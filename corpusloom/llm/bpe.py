@@ -2,8 +2,8 @@
 
 A text is cut into pieces that no token crosses; each distinct piece is split by the pre-tokenizer's pattern
 and merged with a priority queue of merge ranks over a doubly linked list of symbols: an entry whose symbols
-have changed since it was queued is stale and skipped. Ids of short pieces are kept in a bounded cache
-for as long as a task runs. Decoding concatenates the vocabulary's byte strings.
+have changed since it was queued is stale and skipped. Ids of short words are kept in a bounded cache of each
+Python worker. Decoding concatenates the vocabulary's byte strings.
 
 Nothing is shuffled: every text is encoded where it is read, whole, whatever its length (the queue makes a
 run of n symbols cost n log n).
@@ -16,11 +16,11 @@ columns get underscores appended until their names are free.
 from __future__ import annotations
 
 import functools
-import heapq
 import json
 import re
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,11 @@ _BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 _CUT = re.compile(f" (?=[^{_BLANK}])")
 #: A space that doesn't: the text has to be cut with care.
 _GAP = re.compile(f" (?:[{_BLANK}]|$)")
-CACHE = 150_000
+#: Words that a worker remembers: as many again are kept until the next CACHE words are new.
+CACHE = 350_000
 CACHED_CHARS = 48
+#: Words of Latin letters alone, and such words before one mark, are one or two pre-tokens.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
 
 
 def _byte_chars() -> dict[int, str]:
@@ -50,24 +53,27 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) if b in plain else next(spare) for b in range(256)}
 
 
-def merge_symbols(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+def merge_symbols(symbols: list[int], ranks: list[dict[int, int]], made: list[int]) -> list[int]:
     """symbols after all merges, lowest rank first and leftmost among equals.
 
-    ranks: left << 20 | right -> rank; made: rank -> the new symbol.
+    ranks: for each left symbol, right symbol -> rank; made: rank -> the new symbol. A queue entry is the rank and
+    the place where its pair begins; it is stale when another pair, or none, begins there by now.
     """
     n = len(symbols)
-    now = [ranks.get(symbols[i] << 20 | symbols[i + 1], -1) for i in range(n - 1)]  # rank of the pair that begins here
-    queue = [rank << 32 | i for i, rank in enumerate(now) if rank >= 0]
+    now = [ranks[a].get(b, -1) for a, b in zip(symbols, symbols[1:])]  # rank of the pair that begins here
+    bits = n.bit_length()  # entries of short words fit a machine word
+    queue = [rank << bits | i for i, rank in enumerate(now) if rank >= 0]
     if not queue:
         return symbols
     now.append(-1)
-    heapq.heapify(queue)
+    heapify(queue)
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
+    place = (1 << bits) - 1
     while queue:
-        entry = heapq.heappop(queue)
-        i = entry & 0xFFFFFFFF
-        rank = entry >> 32
+        entry = heappop(queue)
+        i = entry & place
+        rank = entry >> bits
         if now[i] != rank:
             continue  # stale
         new = symbols[i] = made[rank]
@@ -76,16 +82,16 @@ def merge_symbols(symbols: list[int], ranks: dict[int, int], made: list[int]) ->
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            rank = now[i] = ranks.get(new << 20 | symbols[k], -1)
+            rank = now[i] = ranks[new].get(symbols[k], -1)
             if rank >= 0:
-                heapq.heappush(queue, rank << 32 | i)
+                heappush(queue, rank << bits | i)
         else:
             now[i] = -1
         h = before[i]
         if h >= 0:
-            rank = now[h] = ranks.get(symbols[h] << 20 | new, -1)
+            rank = now[h] = ranks[symbols[h]].get(new, -1)
             if rank >= 0:
-                heapq.heappush(queue, rank << 32 | h)
+                heappush(queue, rank << bits | h)
     return [s for s in symbols if s >= 0]
 
 
@@ -109,9 +115,6 @@ class _Cache:
                 self._young[text] = found
         return found
 
-    def clear(self) -> None:
-        self._young, self._old = {}, {}
-
     def all(self, texts: list[str]) -> list[bytes]:
         found = list(map(self._young.get, texts))
         if None in found:
@@ -128,11 +131,12 @@ class ByteBpe:
         vocab = spec["model"]["vocab"]
         chars = _byte_chars()
         back = {c: b for b, c in chars.items()}
-        self.ranks: dict[int, int] = {}
+        size = max(vocab.values()) + 1
+        self.ranks: list[dict[int, int]] = [{} for _ in range(size)]
         self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[vocab[left] << 20 | vocab[right]] = rank
+            self.ranks[vocab[left]][vocab[right]] = rank
             self.made.append(vocab[left + right])
         self.of_byte = [vocab[chars[b]] for b in range(256)]
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
@@ -144,21 +148,26 @@ class ByteBpe:
             self.strings[i] = text.encode()
         self._split = regex.compile(PATTERN).findall
         self._added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        self._pieces, self._tokens = _Cache(self._piece, cache), _Cache(self._token, cache // 2)
+        self._pieces, self._tokens = _Cache(self._piece, cache), _Cache(self._token, cache // 8)
 
     def _token(self, text: str) -> bytes:
         """The ids of one pre-token as bytes of int32."""
         of_byte = self.of_byte
         return array("i", merge_symbols([of_byte[b] for b in text.encode("utf-8", "replace")], self.ranks, self.made)).tobytes()
 
-    def _piece(self, text: str) -> bytes:
-        return b"".join(map(self._tokens.get, self._split(text)))
+    def _piece(self, word: str) -> bytes:
+        """The ids of a space and a word after it."""
+        plain = _PLAIN(word)
+        if not plain:
+            return b"".join(map(self._tokens.get, self._split(" " + word)))
+        letters, mark = plain.groups()
+        return self._pieces.get(letters) + self._tokens.get(mark) if mark else self._token(" " + letters)
 
     def _plain(self, text: str, out: list[bytes]) -> None:
         words = _CUT.split(text) if _GAP.search(text) else text.split(" ")
         if words[0]:
-            out.append(self._piece(words[0]))
-        out.extend(self._pieces.all([" " + w for w in words[1:]]))
+            out.extend(map(self._tokens.get, self._split(words[0])))
+        out.extend(self._pieces.all(words[1:]))
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text, int32."""
@@ -171,11 +180,6 @@ class ByteBpe:
                     self._plain(part, out)
         return np.frombuffer(b"".join(out), np.int32)
 
-    def forget(self) -> None:
-        """Give back the caches' memory, as at the end of a task."""
-        self._pieces.clear()
-        self._tokens.clear()
-
     def decode(self, ids) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -197,6 +201,17 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def _id_lists(bpe: ByteBpe, texts: pa.Array) -> pa.ListArray:
+    found = [bpe.encode(t.as_py()) for t in texts]
+    ends = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(x) for x in found], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+
+
+def _decoded(bpe: ByteBpe, lists: pa.ListArray) -> pa.Array:
+    return pa.array([bpe.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in lists], pa.string())
+
+
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """docs with one more column, the array<int> of each text's ids. path: the vocabulary's file, on every executor."""
     path = path or _default_path()
@@ -209,13 +224,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids
         bpe = tokenizer(path)
         for whole in batches:
             for batch in _slices(whole, 1000):
-                found = [bpe.encode(t.as_py()) for t in batch.column(at)]
-                ends = np.zeros(len(found) + 1, np.int32)
-                np.cumsum([len(x) for x in found], out=ends[1:])
-                flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names)
-        bpe.forget()
+                yield pa.RecordBatch.from_arrays([*batch.columns, _id_lists(bpe, batch.column(at))], names)
 
     return docs.mapInArrow(run, schema)
 
@@ -231,15 +240,35 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            texts = [bpe.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(bpe, batch.column(at))], names)
 
     return rows.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """docs with the ids in the text's place and, decoded from them, a text: decode(encode(docs)) in one Python worker a task."""
+    path = path or _default_path()
+    at = docs.columns.index(text_col)
+    rest = docs.drop(text_col)
+    ids_col, decoded_col = fresh(rest, ids_col, decoded_col)
+    more = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded_col, T.StringType(), False)]
+    schema = T.StructType([*rest.schema.fields, *more])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path)
+        for whole in batches:
+            for batch in _slices(whole, 1000):
+                lists = _id_lists(bpe, batch.column(at))
+                kept = [c for i, c in enumerate(batch.columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*kept, lists, _decoded(bpe, lists)], names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = decode(encode(docs).drop("text"))
+    rows = round_trip(docs)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -131,7 +131,6 @@ def count_tokens(docs: DataFrame, text_col: str = "text", path: str | None = Non
                     found.append([dict(zip(("name", "start", "end", "tokens"), r)) for r in rows])
                 arrays = [pa.array(n, pa.int64()), pa.array(over, pa.int64()), pa.array(found, kind)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], schema.names)
-        tokenizer.forget()
 
     return docs.mapInArrow(run, schema)
 
