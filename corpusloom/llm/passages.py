@@ -10,15 +10,16 @@ share a whole signature becomes one row (signature, text, position). Equal signa
 The first text of a signature leads it; every other is verified against the leader: shingles are compared at
 all the offsets that signatures propose for the two texts, and a subsequence is a repeat when its similarity
 (equal shingles over the union) is at least SIMILARITY. So a signature that thousands of texts share costs one
-comparison for each, not all pairs. Starts that share a signature with other texts but weren't verified
-against its leader get a second, exact round: equal contents of LENGTH shingles are repeats of their first
-text. A passage of LENGTH + SHINGLE - 1 words that occurs twice word for word is therefore always found; one
-that is only similar is found when a band agrees and it is similar to that signature's leader.
+comparison for each, not all pairs. Starts that share a signature but that its leader doesn't explain are led anew,
+by the first text among them, in up to ROUNDS rounds. What is open then gets an exact round, with all places of the
+first leaders: equal contents of LENGTH shingles are repeats of their first text. A passage of LENGTH + SHINGLE - 1
+words that occurs twice word for word is therefore always found; one that is only similar is found when a band agrees
+(95 of 100 at a similarity of 0.8) and it is similar to one of its signature's leaders.
 
 Defined cases: null texts are empty; texts shorter than a passage have no repeats; a passage that occurs twice in
 one text only isn't a repeat; texts with equal content are repeats of the smallest id; when ids repeat or are
-null, rows are told apart by their place and the result has a row for each; further columns pass through
-remove_repeats().
+null, rows are told apart by their place in the order of ids (null first) and the result has a row for each; further
+columns pass through remove_repeats(), each of whose rows is cut by its own repeats.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fresh, materialize, read_table
@@ -37,8 +38,11 @@ SIMILARITY = 0.8
 #: Shingles of the shortest passage: 50 words.
 LENGTH = 46
 #: Hash functions of each band.
-BANDS = ((0, 1), (2, 3))
-SLICE = 256
+BANDS = ((0, 1), (2, 3), (4, 5))
+#: Leaders that a signature tries before what is open is compared word for word.
+ROUNDS = 3
+#: Bytes of texts whose signatures are computed together, and texts of one batch.
+PIECE, SLICE = 2_000_000, 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 _POSITION = np.uint64((1 << 24) - 1)
@@ -97,8 +101,15 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return _mix(out)
 
 
-def window_minima(values: np.ndarray, length: int) -> np.ndarray:
-    """Positions that are the leftmost minimum of some window of this length; fewer than 2**24 values."""
+def window_minima(values: np.ndarray, length: int, most: int = 1 << 24) -> np.ndarray:
+    """Positions that are the leftmost minimum of some window of this length.
+
+    Positions are compared in the low 24 bits of the values, so more than 2**24 values are taken piece by piece.
+    """
+    if len(values) > most:
+        step = most - length + 1
+        parts = [window_minima(values[lo : lo + most], length, most) + lo for lo in range(0, len(values) - length + 1, step)]
+        return np.unique(np.concatenate(parts))
     keyed = (values & ~_POSITION) | np.arange(len(values), dtype=np.uint64)
     width = 1
     while 2 * width <= length:
@@ -210,20 +221,34 @@ def _shingles(text: bytes | None) -> np.ndarray:
     return shingle_hashes(word_hashes([text or b""])[0])
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, text): uid is the id where ids tell rows apart, else the row's place in a written table."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").limit(1)
+def _identified(docs: DataFrame, id_col: str, text_col: str, uid_col: str) -> DataFrame:
+    """docs with a uid of each row: the id where ids tell rows apart, else the row's place in a table written in their order."""
+    key = F.col(id_col).cast("long")
+    again = docs.groupBy(key.alias("k")).agg(F.count("*").alias("n")).filter("n > 1 or k is null").limit(1)
     if again.isEmpty():
-        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text")
-    return materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "passages-rows").select("uid", "doc_id", "text")
+        return docs.withColumn(uid_col, key)
+    order = [key, F.xxhash64(F.col(text_col).cast("string"))]
+    dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(dealt.withColumn(uid_col, F.monotonically_increasing_id()), "passages-rows")
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about PIECE bytes of text and SLICE rows at most."""
+    sizes = [len(t.as_py()) for t in batch.column(1).cast(pa.binary())]
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        if i > lo and (held + n > PIECE or i - lo >= SLICE):
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += n
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
+            for part in _pieces(batch):
                 with np.errstate(over="ignore"):
                     at, key, packed = signatures([t.as_py() for t in part.column(1).cast(pa.binary())])
                 uids = part.column(0).to_numpy()[at]
@@ -267,40 +292,83 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, ["content", "uid", "at"])
 
 
+_SPANS = "array<struct<start:long,end:long>>"
+
+
+def _uncovered(members: DataFrame, spans: DataFrame) -> DataFrame:
+    """members (key, uid, packed, lead, lead_packed) whose starts no span (uid, start, end) covers; a text has no more rows than words."""
+    own = members.groupBy("uid").agg(F.collect_list(F.struct(*(c for c in members.columns if c != "uid"))).alias("own"))
+    done = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("done"))
+    low = lambda m: _place(m["packed"]) - F.shiftrightunsigned(m["packed"], 6).bitwiseAND(F.lit(63))
+    high = lambda m: _place(m["packed"]) - m["packed"].bitwiseAND(F.lit(63)) + LENGTH + SHINGLE - 1
+    covered = lambda m: F.exists(F.coalesce("done", F.array().cast(_SPANS)), lambda d: (d["start"] <= low(m)) & (high(m) <= d["end"]))
+    rows = own.join(done, "uid", "left").select("uid", F.explode(F.filter("own", lambda m: ~covered(m))).alias("m"))
+    return rows.select("m.key", "uid", *(f"m.{c}" for c in members.columns if c not in ("key", "uid")))
+
+
+def _place(packed: Column) -> Column:
+    return F.shiftrightunsigned(packed, 12)
+
+
+def _near(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(uid, lead, start, end): what of members is similar to their leader, at the offsets that their places propose."""
+    others = members.filter("uid <> lead").select("uid", "lead", (_place(F.col("packed")) - _place(F.col("lead_packed"))).alias("offset"))
+    pairs = others.groupBy("uid", "lead").agg(F.collect_set("offset").alias("offsets"))  # as long as the text at most
+    pairs = materialize(pairs, "passages-pairs")  # so that joins with a popular leader can be split
+    pairs = pairs.join(texts, "uid").join(texts.select(F.col("uid").alias("lead"), F.col("text").alias("lead_text")), "lead")
+    found = pairs.select("uid", "lead", "offsets", "text", "lead_text").mapInArrow(_verify, "uid long, lead long, starts array<long>, ends array<long>")
+    found = found.select("uid", "lead", F.explode(F.arrays_zip("starts", "ends")).alias("x"))
+    return materialize(found.select("uid", "lead", F.col("x.starts").alias("start"), F.col("x.ends").alias("end")), "passages-verified")
+
+
+def _led(members: DataFrame) -> DataFrame:
+    """(key, lead, lead_packed) of each signature that two texts share, written: a join with it can be split at a popular key."""
+    first = members.groupBy("key").agg(F.min(F.struct("uid", "packed")).alias("f"), F.max("uid").alias("top"))
+    return materialize(first.filter("f.uid < top").select("key", F.col("f.uid").alias("lead"), F.col("f.packed").alias("lead_packed")), "passages-led")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (uid, doc_id, text); spans (uid, lead, start, end), words start..end-1 of uid repeat text lead."""
-    rows = _identified(docs, id_col, text_col)
+    (uid,) = fresh(docs, "uid")
+    return _spans_of(_identified(docs, id_col, text_col, uid), id_col, text_col, uid)
+
+
+def _spans_of(docs: DataFrame, id_col: str, text_col: str, uid_col: str) -> tuple[DataFrame, DataFrame]:
+    rows = docs.select(F.col(uid_col).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = _candidates(rows)  # computed once for the signatures and once for their rows: cheaper than a written table
-    shared = found.groupBy("key").agg(F.min("uid").alias("lead"), F.max("uid").alias("top")).filter("lead < top").select("key", "lead")
-    members = materialize(found.join(shared, "key"), "passages-members")
+    members = materialize(found.join(_led(found), "key").select("key", "uid", "packed", "lead", "lead_packed"), "passages-members")
     texts = materialize(rows.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "text"), "passages-texts")
-    place = F.shiftrightunsigned("packed", 12)
-    leads = members.filter("uid = lead").groupBy("key").agg(F.min(place).alias("lead_at"))
-    others = members.filter("uid <> lead").withColumn("at", place)
-    offsets = others.join(leads, "key").groupBy("uid", "lead", (F.col("at") - F.col("lead_at")).alias("offset")).agg(F.count("*").alias("n"))
-    pairs = offsets.groupBy("uid", "lead").agg(F.collect_list("offset").alias("offsets"))  # as long as the text at most
-    pairs = pairs.join(texts, "uid").join(texts.select(F.col("uid").alias("lead"), F.col("text").alias("lead_text")), "lead")
-    spans = pairs.select("uid", "lead", "offsets", "text", "lead_text").mapInArrow(_verify, "uid long, lead long, starts array<long>, ends array<long>")
-    spans = spans.select("uid", "lead", F.explode(F.arrays_zip("starts", "ends")).alias("x"))
-    spans = materialize(spans.select("uid", "lead", F.col("x.starts").alias("start"), F.col("x.ends").alias("end")), "passages-verified")
-    # starts of shared signatures that no leader explains: compared with each other, word for word
-    lows = (F.col("at") - F.shiftrightunsigned("packed", 6).bitwiseAND(F.lit(63))).alias("low")
-    highs = (F.col("at") - F.col("packed").bitwiseAND(F.lit(63))).alias("high")
-    pieces = others.select("uid", lows, highs).distinct().groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("pieces"))
-    done = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("done"))
-    open_ = pieces.join(done, "uid", "left")
-    covered = lambda p: F.exists(F.coalesce("done", F.array().cast("array<struct<start:long,end:long>>")), lambda d: (d["start"] <= p["low"]) & (p["high"] + LENGTH + SHINGLE - 1 <= d["end"]))
-    open_ = open_.withColumn("pieces", F.filter("pieces", lambda p: ~covered(p))).filter(F.size("pieces") > 0)
-    left = open_.join(texts, "uid").select("uid", F.col("pieces.low").alias("lows"), F.col("pieces.high").alias("highs"), "text")
+    spans = _near(members, texts)
+    open_ = materialize(_uncovered(members.filter("uid <> lead"), spans), "passages-open")
+    for _ in range(ROUNDS - 1):
+        again = open_.drop("lead", "lead_packed")
+        led = _led(again)
+        if led.isEmpty():
+            break
+        more = _near(again.join(led, "key"), texts)
+        spans = spans.union(more)
+        open_ = materialize(_uncovered(open_, more), "passages-open")
+    # what no leader explains is compared word for word, with all places of the first leaders too
+    leaders = members.filter("uid = lead").join(open_.select("key").distinct(), "key", "left_semi")
+    last = open_.select("uid", "packed").union(leaders.select("uid", "packed")).distinct()
+    lows = (_place(F.col("packed")) - F.shiftrightunsigned("packed", 6).bitwiseAND(F.lit(63))).alias("low")
+    highs = (_place(F.col("packed")) - F.col("packed").bitwiseAND(F.lit(63))).alias("high")
+    pieces = last.select("uid", lows, highs).groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("pieces"))
+    left = pieces.join(texts, "uid").select("uid", F.col("pieces.low").alias("lows"), F.col("pieces.high").alias("highs"), "text")
     exact = materialize(left.mapInArrow(_exact, "content long, uid long, at long"), "passages-exact")
-    same = exact.groupBy("content").agg(F.min("uid").alias("lead"), F.max("uid").alias("top")).filter("lead < top")
-    more = exact.join(same, "content").filter("uid <> lead").select("uid", "lead", F.col("at").alias("start"), (F.col("at") + LENGTH + SHINGLE - 1).alias("end"))
+    same = exact.groupBy("content").agg(F.min("uid").alias("lead"), F.max("uid").alias("top")).filter("lead < top").select("content", "lead")
+    more = exact.join(materialize(same, "passages-same"), "content").filter("uid <> lead")
+    more = more.select("uid", "lead", F.col("at").alias("start"), (F.col("at") + LENGTH + SHINGLE - 1).alias("end"))
     return rows, spans.union(more)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(uid, doc_id, n_repeated words, repeat_of ids, spans of words), a row for each text with a repeated passage."""
     rows, spans = repeated_spans(docs, id_col, text_col)
+    return _by_text(rows, spans)
+
+
+def _by_text(rows: DataFrame, spans: DataFrame) -> DataFrame:
     ids = rows.select(F.col("uid").alias("lead"), F.col("doc_id").alias("lead_id"))
     merged = _merged(spans.join(ids, "lead"))
     return merged.join(rows.select("uid", "doc_id"), "uid").select("uid", "doc_id", "n_repeated", "repeat_of", "spans")
@@ -348,10 +416,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A column chars_col, if there is one, is counted anew where a text was cut. Rows without an id are left alone.
     """
-    spans = repeats(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
-    (cut_id, cut_spans) = fresh(docs, "cut_id", "cut_spans")
-    cuts = spans.groupBy(F.col("doc_id").alias(cut_id)).agg(F.max("spans").alias(cut_spans))
-    joined = docs.join(cuts, docs[id_col].cast("long") == F.col(cut_id), "left")
+    cut_id, cut_spans, uid = fresh(docs, "cut_id", "cut_spans", "cut_uid")
+    known = _identified(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, uid)
+    spans = _by_text(*_spans_of(known, id_col, text_col, uid))
+    cuts = spans.select(F.col("uid").alias(cut_id), F.col("spans").alias(cut_spans))
+    joined = known.join(cuts, F.col(uid) == F.col(cut_id), "left")
     names = joined.columns
     at, where = names.index(text_col), names.index(cut_spans)
 
@@ -369,7 +438,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = cut.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
     if chars_col in docs.columns:
         cut = cut.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return whole.select(*docs.columns).union(cut.select(*docs.columns))
+    return whole.select(*docs.columns).union(cut.select(*docs.columns)).union(docs.filter(F.col(id_col).isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

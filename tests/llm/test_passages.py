@@ -69,7 +69,7 @@ def test_signatures_cover_every_start():
             n = len(text.split()) - passages.SHINGLE + 1 - passages.LENGTH + 1
             rows = [(int(p) >> 12, int(p) >> 6 & 63, int(p) & 63) for a, p in zip(at, packed) if a == t]
             covered = [i for c, lo, hi in rows for i in range(c - lo, c - hi + 1)]
-            assert sorted(covered) == sorted(2 * list(range(max(0, n))))
+            assert sorted(covered) == sorted(len(passages.BANDS) * list(range(max(0, n))))
 
 
 def test_remove_repeats_keeps_the_first_copy(spark):
@@ -83,6 +83,62 @@ def test_remove_repeats_keeps_the_first_copy(spark):
     assert got[2]["n_chars"] == len(got[2]["text"])
 
 
+def test_rows_of_one_id_are_cut_each_by_its_own_repeats(spark):
+    rnd = random.Random(11)
+    text = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    shared, other, long = text(80), text(30), text(300)
+    rows = [(1, shared), (1, shared), (2, other), (2, f"{long}\n{shared}"), (None, shared)]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", shared), ("2", other), ("2", long), ("None", shared)])
+
+
+def test_long_inputs_are_cut_by_size_and_minima_piece_by_piece(monkeypatch):
+    rng = np.random.default_rng(7)
+    values = rng.integers(0, 1 << 62, 5000, np.uint64) & ~np.uint64((1 << 24) - 1)
+    assert passages.window_minima(values, 46, 200).tolist() == passages.window_minima(values, 46).tolist()
+    import pyarrow as pa
+
+    monkeypatch.setattr(passages, "PIECE", 1000)
+    texts = ["x" * n for n in (10, 990, 1, 5000, 3)] + ["y"] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["uid", "text"])
+    parts = [p.num_rows for p in passages._pieces(batch)]
+    assert sum(parts) == len(texts) and parts[:4] == [2, 1, 1, 257 - 1] and max(parts) <= passages.SLICE
+
+
+def test_a_leader_that_repeats_a_frequent_line_hides_nothing(spark):
+    rnd = random.Random(12)
+    words = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    line = words(30)
+    rows = []
+    for k in range(12):
+        before, after, end = words(24), words(24), words(90)
+        first = [*words(60), *line, *words(70), *before, *line, *after, *words(50)]
+        rows += [(2 * k, " ".join(first)), (2 * k + 1, " ".join([*before, *line, *after, *end]))]
+    got = {r["doc_id"]: r["spans"] for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(12):
+        assert any(s["start"] == 0 and s["end"] >= 78 for s in got[2 * k + 1])
+
+
+def test_near_recall_against_brute_force(spark):
+    rnd = random.Random(13)
+    words = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    shingles = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    for k in range(300):
+        passage = words(rnd.choice((50, 50, 60, 80, 120)))
+        near = list(passage)
+        for _ in range(rnd.choice((1, 1, 2))):
+            near[rnd.randrange(len(near))] = words(1)[0]
+        if rnd.random() < 0.3:
+            near.insert(rnd.randrange(len(near)), words(1)[0])
+        rows += [(2 * k, " ".join([*words(80), *passage, *words(40)])), (2 * k + 1, " ".join([*words(50), *near, *words(70)]))]
+        windows = [shingles(passage[i : i + 50]) for i in range(len(passage) - 49)]
+        if any(len(a & b) >= 0.8 * len(a | b) for i in range(len(near) - 49) for b in [shingles(near[i : i + 50])] for a in windows):
+            want.add(2 * k + 1)
+    got = {r["doc_id"] for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 150 and len(got & want) >= 0.9 * len(want)
+
+
 def test_edges(edge, clash, empty):
     got = passages.repeats(edge)
     by = defaultdict(list)
