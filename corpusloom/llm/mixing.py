@@ -4,16 +4,17 @@ Every source has a weight and shares a budget of words by it; what exceeds a sou
 weight among the others. A document of the source then gets target / size copies in expectation: the whole
 part is certain, the fraction is rounded. Fractional documents are paired and words move between them, at
 random in the direction and by the amount that keep every document's expected copies, until one of them is
-integral; the total stays the same to the word. In a leaf of a few hundred documents of one source, the
-largest is paired with all the others together, then the next; the one that stays fractional, a small one as a
-rule, meets those of other leaves in groups of LEAF, pair by pair, and so on: a reduction tree whose every
-level is one shuffle of narrow rows, a hot source being many leaves. Only the last document of a source is
-rounded alone.
+integral; the total stays the same to the word. In a leaf of a few hundred documents of one source this goes from
+the largest down, each with the next. Of two documents the larger tends to stay fractional, so one that is more than
+twice its next is settled against all smaller ones together instead, as long as these can give or take what it needs
+without becoming integral themselves; so what is left of a leaf is small as a rule. It meets those of other leaves in
+groups of LEAF, pair by pair, and so on: a reduction tree whose every level is one shuffle of narrow rows, a hot source
+being many leaves. Only the last document of a source is rounded alone.
 
 Randomness comes from hashes of the seed and the document, so reruns agree.
 
-Defined cases: a document is the set of rows with one id and one source (null ids and sources are values of
-their own); each of its rows is taken as often as the others. Texts without words have size 0 and are
+Defined cases: a document is the set of rows with one id and one source (a null source is a source of its own); each
+of its rows is taken as often as the others. Rows without an id are told apart by their texts. Texts without words have size 0 and are
 never taken more than once. A source of size 0 has target 0. A budget above the sum of the caps fills all
 caps. Further columns pass through mix(), whose new columns get underscores until their names are free.
 """
@@ -95,24 +96,26 @@ def _pair(a: list, b: list, seed: int) -> tuple[list, list]:
 
 
 def _first_leaf(docs: list[list], x: float, seed: int) -> None:
-    """Settle the documents [id, size, x] of one leaf, which all have the fraction x, from the largest down.
-
-    Each is paired with all smaller ones together, whose common fraction takes what it gives or gives what
-    it takes; so what stays fractional at the end is the smallest document, as a rule.
-    """
+    """Settle all documents [id, size, x] of one leaf but one; all begin with the fraction x."""
     docs.sort(key=lambda d: (-d[1], d[0]))
-    rest = sum(d[1] for d in docs)
+    rest = sum(d[1] for d in docs)  # words of the documents that nothing has touched yet
+    held = None
     for doc in docs:
-        size = doc[1]
-        rest -= size
-        up, down = min((1 - x) * size, x * rest), min(x * size, (1 - x) * rest)
-        if up + down <= 0:
-            doc[2] = x
-            continue
-        moved = up if _draw(seed, doc[0]) * (up + down) < down else -down
-        doc[2] = x + moved / size
-        x -= moved / rest
-        doc[2], x = (float(round(v)) if abs(v - round(v)) < 1e-9 else v for v in (doc[2], x))
+        doc[2] = x
+        rest -= doc[1]
+        whole = rest + doc[1]
+        up, down = ((1 - held[2]) * held[1], held[2] * held[1]) if held else (0.0, 0.0)
+        if held and 2 * doc[1] < held[1] and up < x * whole and down < (1 - x) * whole:
+            moved = up if _draw(seed, held[0], "rest") * (up + down) < down else -down
+            held[2] = float(moved > 0)
+            x = doc[2] = x - moved / whole
+            held = None
+        if held is None:
+            held = doc
+        else:
+            _, held = _pair(held, doc, seed)
+        if not 0.0 < held[2] < 1.0:
+            held = None
 
 
 def _later_leaf(docs: list[list], seed: int) -> None:
@@ -187,32 +190,37 @@ def _small(sources: DataFrame, most: int = 20_000) -> bool:
     return sources.limit(most + 1).count() <= most
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows without an id apart: their text; 0 for rows with one."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string"))).otherwise(F.lit(0).cast("long"))
+
+
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
              share: float = SHARE, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies), a row for each of docs."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
+    """(doc_id, source, row, size, source_size, target, copies), a row for each of docs; row tells rows without an id apart."""
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), _row_key(id_col, text_col).alias("row"))
     sized = materialize(sized, "mix-sizes")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
     sources = materialize(sources.withColumn("source_id", F.xxhash64("source")), "mix-targets")
     small = F.broadcast(sources) if _small(sources) else sources
-    key = F.xxhash64(F.col("doc_id").cast("string"), "source", F.lit(seed))
+    key = F.xxhash64(F.col("doc_id").cast("string"), "source", "row", F.lit(seed))
     keyed = sized.withColumn("unit", key).join(small.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     keyed = keyed.withColumn("sure", F.floor(ratio + 1e-12)).withColumn("x", F.greatest(ratio - F.col("sure"), F.lit(0.0)))
     units = keyed.groupBy("unit").agg(F.first("source_id").alias("source_id"), F.sum("size").alias("size"), F.first("x").alias("x"))
     ups = round_fractions(materialize(units, "mix-units"), seed)
     copies = (F.col("sure") + F.coalesce("up", F.lit(0))).cast("int")
-    return keyed.join(ups, "unit", "left").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return keyed.join(ups, "unit", "left").select("doc_id", "source", "row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
         copy_col: str = "copy", **options) -> DataFrame:
     """The mixed rows: each of docs as often as the mix takes it, with the number of the copy (from 1)."""
     plan = plan_mix(docs, id_col, source_col, text_col, **options)
-    (copy_col, a, b, n) = fresh(docs, copy_col, "_a", "_b", "_n")
-    taken = plan.filter("copies > 0").groupBy(F.col("doc_id").alias(a), F.col("source").alias(b)).agg(F.max("copies").alias(n))
-    joined = docs.join(taken, docs[id_col].eqNullSafe(taken[a]) & docs[source_col].cast("string").eqNullSafe(taken[b]))
-    return joined.withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(a, b, n)
+    (copy_col, a, b, r, n) = fresh(docs, copy_col, "_a", "_b", "_r", "_n")
+    taken = plan.filter("copies > 0").groupBy(F.col("doc_id").alias(a), F.col("source").alias(b), F.col("row").alias(r)).agg(F.max("copies").alias(n))
+    same = docs[id_col].eqNullSafe(taken[a]) & docs[source_col].cast("string").eqNullSafe(taken[b]) & (_row_key(id_col, text_col) == taken[r])
+    return docs.join(taken, same).withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(a, b, r, n)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

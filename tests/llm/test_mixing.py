@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pytest
 
 from corpusloom.llm import mixing
@@ -49,6 +50,33 @@ def test_pairing_keeps_words_and_expectations():
     assert up / 4000 == pytest.approx(0.4, abs=0.03)
 
 
+def test_a_leaf_is_rounded_in_pairs_against_each_other():
+    """Neighbours repel each other; after an outlier the shift that the small ones share correlates them by 0.1 or so. What stays fractional is small."""
+    sizes = [900, 400, 390, 120, 110, 100, 90, 80, 75, 60, 50, 45, 30, 25, 20, 15, 12, 10, 8, 5]
+    x, n = 0.35, 6000
+    taken, left = np.zeros((n, len(sizes))), []
+    for seed in range(n):
+        docs = [[i, s, x] for i, s in enumerate(sizes)]
+        mixing._first_leaf(docs, x, seed)
+        assert sum(s * d for _, s, d in docs) == pytest.approx(x * sum(sizes))
+        open_ = [d for d in docs if 0 < d[2] < 1]
+        assert len(open_) <= 1
+        left += [d[1] for d in open_]
+        for i, _, d in docs:
+            taken[seed, i] = d
+    assert np.abs(taken.mean(axis=0) - x).max() < 0.03
+    together = taken.T @ taken / n - np.outer(taken.mean(axis=0), taken.mean(axis=0))
+    assert (together - np.diag(np.diag(together))).max() < 0.03
+    assert all(together[i, i + 1] < 0 for i in range(3))
+    assert np.mean(left) < 100
+
+
+def test_rows_without_an_id_are_rounded_one_by_one(spark):
+    rows = [(None, "a", f"text {k} " * 10) for k in range(400)]
+    plan = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), share=0.5).collect()
+    assert sum(r["copies"] * r["size"] for r in plan) == pytest.approx(0.5 * sum(r["size"] for r in plan), rel=0.01)
+
+
 def test_many_leaves_leave_one_document_a_source(spark):
     units = spark.range(3000).selectExpr("id as unit", "id % 3 as source_id", "1 + id % 17 as size", "0.3D as x")
     out = {r["unit"]: r["up"] for r in mixing.round_fractions(units, leaf=8).collect()}
