@@ -40,41 +40,58 @@ def is_content() -> Column:
     return (F.col("line") != "") & ~F.col("is_barrier")
 
 
-def _edges(lines: DataFrame) -> DataFrame:
-    """With is_edge: among the first or last EDGE_LINES content lines of a page."""
+def mark_edges(lines: DataFrame) -> DataFrame:
+    """With is_edge, among the first or last EDGE_LINES content lines of a page, and pages, the document's number of pages."""
     page = Window.partitionBy("doc_id", "page_no", "content")
     rows = lines.withColumn("content", is_content())
     first = F.row_number().over(page.orderBy("line_no"))
     last = F.row_number().over(page.orderBy(F.desc("line_no")))
-    return rows.withColumn("is_edge", F.col("content") & ((first <= EDGE_LINES) | (last <= EDGE_LINES))).drop("content")
+    rows = rows.withColumn("is_edge", F.col("content") & ((first <= EDGE_LINES) | (last <= EDGE_LINES))).drop("content")
+    return rows.withColumn("pages", F.max("page_no").over(Window.partitionBy("doc_id")) + 1)
 
 
-def drop_page_numbers(lines: DataFrame) -> DataFrame:
-    """Bare n or n/m at page edges whose distance to the page's place recurs in at least half the pages."""
-    rows = _edges(lines)
+def _mark_numbers(rows: DataFrame) -> DataFrame:
+    """With is_number: bare n or n/m at page edges whose distance to the page's place recurs in at least half the pages."""
     number = F.regexp_extract("line", t.EDGE_NUMBER, 1)
-    candidate = F.col("is_edge") & (number != "")
     total = F.regexp_extract("line", t.EDGE_NUMBER, 2)
-    rows = rows.withColumn("shift", F.when(candidate, F.concat_ws("/", (F.try_to_number(number, F.lit("9999")).cast("int") - F.col("page_no")).cast("string"), total)))
-    pages = F.max("page_no").over(Window.partitionBy("doc_id")) + 1
-    seen = F.count("shift").over(Window.partitionBy("doc_id", "shift"))
-    rows = rows.withColumn("pages", pages).withColumn("seen", seen)
-    drop = (F.col("pages") >= 2) & F.col("shift").isNotNull() & (F.col("seen") >= F.greatest(F.lit(2), F.ceil(F.col("pages") / 2)))
-    return rows.withColumn("drop", drop).filter("not drop").drop("is_edge", "shift", "pages", "seen", "drop")
+    shift = F.concat_ws("/", (F.try_to_number(number, F.lit("9999")).cast("int") - F.col("page_no")).cast("string"), total)
+    rows = rows.withColumn("shift", F.when(F.col("is_edge") & (number != ""), shift))
+    rows = rows.withColumn("seen", F.count("shift").over(Window.partitionBy("doc_id", "shift")))
+    found = (F.col("pages") >= 2) & F.col("shift").isNotNull() & (F.col("seen") >= F.greatest(F.lit(2), F.ceil(F.col("pages") / 2)))
+    return rows.withColumn("is_number", found).drop("shift", "seen")
 
 
-def drop_page_edges(lines: DataFrame) -> DataFrame:
-    """Headers and footers, lines at page edges that recur in at least half the pages (three at least): the first stays."""
-    rows = _edges(lines)
+def _mark_headers(rows: DataFrame) -> DataFrame:
+    """With is_repeated, lines that read as a header or footer, and is_copy, those of them at page edges after the first.
+
+    A header or footer recurs at the edges of at least half the pages, three at least.
+    """
     eligible = F.col("is_edge") & (F.length("line") <= EDGE_CHARS) & ~t.is_protected_value(F.col("line"))
-    rows = rows.withColumn("key", F.when(eligible, t.edge_key(F.col("line"), True)))
+    rows = rows.withColumn("key", t.edge_key(F.col("line"), True)).withColumn("eligible", eligible)
+    by_page = Window.partitionBy("doc_id", "key", "page_no", "eligible").orderBy("line_no")
+    rows = rows.withColumn("page_first", (F.col("eligible") & (F.row_number().over(by_page) == 1)).cast("int"))
     by_key = Window.partitionBy("doc_id", "key")
-    page_first = F.col("key").isNotNull() & (F.row_number().over(Window.partitionBy("doc_id", "key", "page_no").orderBy("line_no")) == 1)
-    rows = rows.withColumn("page_first", page_first).withColumn("pages", F.max("page_no").over(Window.partitionBy("doc_id")) + 1)
-    on_pages = F.sum(F.col("page_first").cast("int")).over(by_key)
-    rows = rows.withColumn("on_pages", on_pages).withColumn("rn", F.row_number().over(by_key.orderBy("page_no", "line_no")))
-    repeated = F.col("key").isNotNull() & (F.col("pages") >= 2) & (F.col("on_pages") >= F.greatest(F.lit(3), F.ceil(F.col("pages") / 2)))
-    return rows.filter(~(repeated & (F.col("rn") > 1))).drop("is_edge", "key", "page_first", "pages", "on_pages", "rn")
+    upto = by_key.orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("on_pages", F.sum("page_first").over(by_key)).withColumn("nth", F.sum((F.col("eligible") & ~F.col("is_number")).cast("int")).over(upto))
+    rows = rows.withColumn("is_repeated", (F.col("pages") >= 2) & (F.col("on_pages") >= F.greatest(F.lit(3), F.ceil(F.col("pages") / 2))))
+    return rows.withColumn("is_copy", F.col("eligible") & F.col("is_repeated") & (F.col("nth") > 1)).drop("key", "eligible", "page_first", "on_pages", "nth")
+
+
+def drop_page_numbers(lines: DataFrame) -> DataFrame:
+    """W3."""
+    return _mark_numbers(mark_edges(lines)).filter("not is_number").select(*lines.columns)
+
+
+def drop_page_edges(lines: DataFrame) -> DataFrame:
+    """Of a header or footer the first stays."""
+    rows = mark_edges(lines).withColumn("is_number", F.lit(False))
+    return _mark_headers(rows).filter("not is_copy").select(*lines.columns)
+
+
+def drop_page_noise(lines: DataFrame) -> DataFrame:
+    """W3 and W2 together, by the edges that the page had before anything went; with is_repeated, for join_pages()."""
+    rows = _mark_headers(_mark_numbers(mark_edges(lines)))
+    return rows.filter("not is_number and not is_copy").select(*lines.columns, "is_repeated")
 
 
 def drop_toc(lines: DataFrame) -> DataFrame:
@@ -195,13 +212,20 @@ def join_paragraphs(paragraphs: DataFrame) -> DataFrame:
 
 
 def join_pages(lines: DataFrame) -> DataFrame:
-    """Pages meet in a blank line, unless the last content line of one runs on into the first of the next."""
+    """Pages meet in a blank line, unless the last content line of one runs on into the first of the next.
+
+    A line that is_repeated (where lines have that column), a header or footer, never runs on.
+    """
     solid = (F.col("line") != "") | F.col("is_barrier")
     rows = lines.withColumn("solid", solid)
     ordered = Window.partitionBy("doc_id", "solid").orderBy("page_no", "line_no")
     prev, prev_page = F.lag("line").over(ordered), F.lag("page_no").over(ordered)
     meets = F.col("solid") & (prev_page < F.col("page_no"))
-    open_ = meets & ~F.col("is_barrier") & ~F.coalesce(F.lag("is_barrier").over(ordered), F.lit(True))
+    if "is_repeated" in lines.columns:
+        meets_text = meets & ~F.col("is_repeated") & ~F.coalesce(F.lag("is_repeated").over(ordered), F.lit(True))
+    else:
+        meets_text = meets
+    open_ = meets_text & ~F.col("is_barrier") & ~F.coalesce(F.lag("is_barrier").over(ordered), F.lit(True))
     rows = rows.withColumn("meets", meets).withColumn("runs_on", open_ & (t.wrap_join(prev, F.col("line"), F.length(prev)) != t.JOIN_NONE))
     # blank lines at the ends of pages go; a page that doesn't run on begins with one
     page = Window.partitionBy("doc_id", "page_no").orderBy("line_no")
@@ -217,6 +241,6 @@ def join_pages(lines: DataFrame) -> DataFrame:
 def normalize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, normalized) of every document that keeps a line."""
     lines = clean_lines(explode_lines(docs, id_col, text_col))
-    lines = join_pages(drop_page_edges(drop_page_numbers(lines)))
+    lines = join_pages(drop_page_noise(lines))
     lines = drop_consecutive(drop_repeats(drop_toc(lines)))
     return join_paragraphs(drop_duplicate_paragraphs(repair_wraps(to_paragraphs(lines))))

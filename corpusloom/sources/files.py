@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
+from corpusloom.sources.shared import written
 
 # --- Fixed values -----------------------------------------------------------------------------------------
 MAX_BYTES = 25 * 1024 * 1024
@@ -46,7 +47,7 @@ def magic_error(content: Column, extension: Column) -> Column:
     """invalid_file where the bytes don't fit the extension, unsupported_format for others, else null."""
     out = F.when(extension == "pdf", F.when(~starts_with(content, PDF), "invalid_file"))
     for name, (firsts, _) in FORMATS.items():
-        fits = ~F.hex(content).rlike("^(?:..)*?00") if not firsts else F.lit(False)
+        fits = ~F.contains(content, F.lit(b"\x00")) if not firsts else F.lit(False)
         for first in firsts:
             fits = fits | starts_with(content, first)
         out = out.when(extension == name, F.when(~fits, "invalid_file"))
@@ -86,7 +87,7 @@ def extract_text(files: DataFrame, extract: Callable[[bytes], str], ocr: Callabl
         return run
 
     valid = files.filter("error_code is null").select("path", "content")
-    first = valid.mapInPandas(stage("text", lambda c: c), fields)
+    first = written(valid.mapInPandas(stage("text", lambda c: c), fields), "files-text")  # the service is asked once
     rejected = files.filter("error_code is not null").select("path", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("method"), "error_code")
     if ocr is None:
         return first.unionByName(rejected)

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,46 @@ def test_normalize_removes_no_other_characters(spark):
     assert got == "Head\n\nzerowidth and no break\nfinal\n\nEnd"
 
 
+def pages(*texts):
+    return "\f".join("\n".join(x) for x in texts)
+
+
+def test_page_edges_are_those_before_anything_goes(spark):
+    # the bare number is the third line from the end: once it is gone, "same fourth" mustn't count as an edge
+    text = pages(*(["top %d" % n, "a%d" % n, "b%d" % n, "body text %d" % n, "same fourth", str(n), "x%d" % n, "y%d" % n] for n in (1, 2, 3, 4)))
+    got = lines.normalize(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["normalized"]
+    assert got.count("same fourth") == 4 and "\n1\n" not in got and got.count("top") == 4
+
+
+def test_headers_stay_once_and_are_never_glued(spark):
+    sentence = "Diese Vereinbarung regelt die Wartung aller Anlagen und gilt für alle"
+    text = pages(*(["Muster Liegenschaften und Wartung im Norden", "Zeile %d a." % n, "Zeile %d b." % n, "Zeile %d c." % n, "Zeile %d d." % n, sentence] for n in (1, 2, 3)))
+    got = lines.normalize(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["normalized"]
+    assert got.count("Muster Liegenschaften") == 1 and got.count(sentence) == 1
+    open_ = pages(["Erste Zeile.", "Der Auftragnehmer übernimmt die regelmäßige Wartung der"], ["anlagen im ganzen Haus.", "Ende."])
+    assert "Wartung der anlagen" in lines.normalize(spark.createDataFrame([(1, open_)], "doc_id long, text string")).first()["normalized"]
+    marked = [(1, 0, 0, "a line that is long enough to go on", False, False), (1, 1, 0, "and here it does", False, True)]
+    rows = spark.createDataFrame(marked, "doc_id long, page_no int, line_no int, line string, is_barrier boolean, is_repeated boolean")
+    assert lines.join_pages(rows).count() == 3 and lines.join_pages(rows.drop("is_repeated")).count() == 2
+
+
+def test_a_text_service_is_asked_once_a_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.txt").write_bytes(b"short" if k else b"a text that is long enough to do without any OCR")
+    log = tmp_path / "asked"
+
+    def extract(content):
+        with open(log, "a") as f:
+            f.write("x")
+        return content.decode()
+
+    got = files.extract_text(files.read_files(spark, f"file://{tmp_path}/in"), extract, lambda c: c + b", now with the letters that OCR has found")
+    assert {r["method"] for r in got.collect()} == {"text", "ocr"} and len(log.read_text()) == 3 + 2
+    got = spark.createDataFrame([(b"a\x00b",), (b"ab",)], "c binary").select(files.magic_error(F.col("c"), F.lit("txt")).alias("e"))
+    assert [r["e"] for r in got.collect()] == ["invalid_file", None]
+
+
 def test_segments_cover_the_text():
     text = "§ 1 Title\n\n" + "word " * 400 + "\n\n" + "\n".join("line %d ends." % i for i in range(300)) + "\n\n" + "x" * 3000
     blocks = scoring.segment_text(text)
@@ -50,15 +91,45 @@ def test_segments_cover_the_text():
     assert text[slice(*blocks[0])].startswith("§ 1 Title")
 
 
+def test_long_lines_are_cut_at_sentences_then_spaces_then_hard():
+    sentences = " ".join("Satz %03d %s." % (i, "w" * 80) for i in range(40))
+    spans = scoring.segment_text(sentences)
+    assert all(b - a <= scoring.MAX_BLOCK and sentences[b - 1] == "." for a, b in spans)
+    assert all(scoring.SPLIT_AT - 100 <= b - a <= scoring.SPLIT_AT for a, b in spans[:-1])
+    assert scoring.segment_text("ab " * 1000)[0] == (0, 1397) and scoring.segment_text("y" * 3000) == [(0, 1400), (1400, 2800), (2800, 3000)]
+
+
+def test_table_rows_stick_together_and_headings_pair_up():
+    rows = "\n".join("a%02d | %s" % (i, "x" * 45) for i in range(40))
+    spans = scoring.segment_text(rows)
+    assert spans[0][1] > scoring.SPLIT_AT and spans[0][1] <= scoring.MAX_BLOCK and rows[spans[1][0]] == "a"
+    text = "§ 1 One\n\n§ 2 Two\n\nbody\n\n3. Three\n\n" + "z" * 1395
+    assert [text[a:b].split("\n")[0] for a, b in scoring.segment_text(text)] == ["§ 1 One", "body", "3. Three", "z" * 1395]
+
+
 def test_choice_respects_limits():
     spans = [(i * 102, i * 102 + 100) for i in range(30)]
-    flags = [False] * 30
-    s = planning.Settings()
-    got = planning.choose(spans, flags, flags, flags, [20, 10, 5], {20, 10}, {20}, [5], 1200, s, 900, 150, 90, 200)
-    assert {0, 1, 20, 5, 29} <= set(got["chosen"]) and got["included_hits"] == got["hit_blocks"] == 1
-    assert planning._rendered_chars(set(got["chosen"]), spans) <= 1200
-    none = planning.choose(spans, flags, flags, flags, [], set(), set(), [], 1200, s, 900, 150, 90, None)
-    assert 15 in none["chosen"]
+    flags, cost = [False] * 30, np.full(30, 102)
+    table = planning.tiers(cost, flags, flags, flags, [20, 10, 5], {20, 10}, {20}, [5], 150, 90)
+    chosen, required = planning.choose(spans, table, 1200, 900, 200)
+    assert {0, 1, 20, 5, 29} <= set(np.flatnonzero(chosen)) and set(np.flatnonzero(required)) == {0, 1, 20, 5}
+    start, end = np.array(spans).T
+    assert planning.rendered_chars(chosen, start, end) <= 1200
+    none, _ = planning.choose(spans, planning.tiers(cost, flags, flags, flags, [], set(), set(), [], 150, 90), 1200, 900, None)
+    assert none[15]
+    tight, kept = planning.choose(spans, table, 320, 900, None)  # labels push out what came last, never the head
+    assert tight[:2].all() and planning.rendered_chars(tight, start, end) <= 320 and kept[0]
+
+
+def test_rendered_length_is_that_of_the_rendered_text(spark):
+    text = "".join(chr(97 + i % 26) for i in range(1000))
+    spans = [(i * 100, i * 100 + 98) for i in range(10)]
+    start, end = np.array(spans).T
+    for places in ([0], [9], [0, 1, 5, 9], [3, 4], list(range(10))):
+        mask = np.isin(np.arange(10), places)
+        rows = spark.createDataFrame([(1, i, *spans[i], 10) for i in places], "doc_id long, block_no int, start int, end int, n_blocks int")
+        done = scoring.render_runs(rows, spark.createDataFrame([(1, text[:998])], "doc_id long, normalized string")).first()["text"]
+        assert planning.rendered_chars(mask, start, end) == len(done)
 
 
 def test_templates_fill_in_one_pass(spark):
