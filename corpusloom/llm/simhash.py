@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import fresh, materialize
 from corpusloom.llm.graph import components
@@ -183,28 +184,57 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, component_id), a row for each of docs; component_id is the smallest id reachable over similar texts."""
+    """(doc_id, node, root, component_id), a row for each of docs; component_id is the smallest id reachable over similar texts.
+
+    node stands for the text's words, root for the component.
+    """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = materialize(_nodes(source, True), "simhash-prints")
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("extra").alias("extra"))
     nodes = materialize(nodes, "simhash-nodes")
-    roots = components(similar_links(source, nodes), "simhash-links")
-    rooted = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    roots = components(similar_links(source, nodes), "simhash-links").select(F.col("node").alias("u"), "root")
+    rooted = nodes.join(roots, F.col("node") == F.col("u"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = materialize(rooted.join(least, "root").select("node", "component_id"), "simhash-classes")
-    return prints.join(classes, "node").select("doc_id", "node", "component_id")
+    classes = materialize(rooted.join(least, "root").select("node", "root", "component_id"), "simhash-classes")
+    return prints.join(classes, "node").select("doc_id", "node", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest id. Repeated rows of it leave one row.
+    """docs with one document of each component: the one with the smallest id, and of several rows of that id one.
 
-    Rows with a null id can't be told apart by name; they all stay.
+    Rows of one id whose texts aren't similar belong to components of their own: each stays. Rows with a null id can't
+    be told apart by name; they all stay.
     """
-    found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
-    (first,) = fresh(docs, "first_id")
-    firsts = found.filter("doc_id = component_id").select(F.col("doc_id").alias(first)).distinct()
-    kept = docs.join(firsts, docs[id_col].cast("long") == firsts[first], "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    node_col, first_node, first_id = fresh(docs, "node", "first_node", "first_id")
+    known = docs.filter(F.col(id_col).isNotNull())
+    found = near_duplicates(known, id_col, text_col)
+    # the smallest node of a component's smallest id names the rows to keep
+    firsts = found.filter("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias(first_id), F.min("node").alias(first_node))
+    firsts = materialize(firsts.drop("root"), "simhash-firsts")
+    again = materialize(firsts.groupBy(first_id).agg(F.count("*").alias("n")).filter("n > 1").select(first_id), "simhash-again")
+    repeated = known.groupBy(F.col(id_col).cast("long").alias("k")).agg(F.count("*").alias("n")).filter("n > 1").select("k")
+    apart = materialize(repeated.union(again.select(F.col(first_id).alias("k"))).distinct(), "simhash-apart")
+    here = F.col(id_col).cast("long")
+    # ids of one row need no look at the text
+    plain = known.join(apart, here == F.col("k"), "left_anti").join(firsts, here == F.col(first_id), "left_semi")
+    rest = known.join(apart, here == F.col("k"), "left_semi")
+    rest = with_node(rest, text_col, node_col)
+    rest = rest.join(firsts, (here == F.col(first_id)) & (F.col(node_col) == F.col(first_node)), "left_semi")
+    rest = rest.dropDuplicates([id_col, node_col]).drop(node_col)
+    return plain.select(*docs.columns).union(rest.select(*docs.columns)).union(docs.filter(F.col(id_col).isNull()))
+
+
+def with_node(docs: DataFrame, text_col: str, node_col: str) -> DataFrame:
+    """docs with the hash of each text's words."""
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(node_col, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [shingle_set(t.as_py())[0] for t in batch.column(at).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

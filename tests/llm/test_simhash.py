@@ -89,3 +89,12 @@ def test_edges(edge, clash, empty):
     assert kept.columns == clash.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 4, 5, 7, 8]
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
+
+
+def test_rows_of_one_id_with_other_texts_all_stay(spark):
+    rnd = random.Random(8)
+    text = lambda: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "y"), (2, a + " more", "z"), (3, c, "w"), (None, c, "v")]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, node string")).collect())
+    assert got == sorted([("1", a), ("1", b), ("3", c), ("None", c)])
