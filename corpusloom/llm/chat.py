@@ -2,12 +2,13 @@ r"""Chat formatting of typed content parts, in DataFrame functions alone.
 
 A turn is a list of typed parts. A visitor over the parts turns a text into itself, with control strings
 escaped, and an image, audio clip or document into a placeholder that names its place among the attachments
-of the conversation's turn; the attachments' references, kinds and expanded token counts come in that order.
+of the conversation; the attachments' references, kinds and expanded token counts come in that order.
 Turns are then wrapped in the template's marks and joined by turn.
 
 The template marks a turn as <|turn:ROLE|> ... <|end|>, and a placeholder as <|image:0:256|> (kind, number,
 tokens). Every mark begins with <|, so one rule makes texts and roles safe and can be undone: inside them
-every backslash becomes \b and every < becomes \l. No mark can then occur inside a text, whatever it says.
+every backslash becomes \b and every < becomes \l, inside roles every | becomes \p. No mark can then occur inside a
+text or end a role, whatever they say, and parse() tells placeholders from texts that look like them.
 
 A conversation is as long as its turns: the turns of one are collected into one row, which is the result
 asked for; conversations are dealt by id.
@@ -38,6 +39,14 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("|"), F.lit("\\p"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("\\p"), F.lit("|")))
+
+
 def text_parts(text: Column) -> Column:
     """A plain text as a list of one part."""
     part = F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("tokens"))
@@ -56,40 +65,68 @@ def _tokens(part: Column) -> Column:
     return F.coalesce(part["tokens"], default.cast("long"))
 
 
-def flatten(turns: DataFrame, parts_col: str = "parts") -> DataFrame:
-    """turns with body (escaped text and placeholders), attachments and n_expanded (tokens of the attachments)."""
-    parts = F.coalesce(F.col(parts_col), F.array().cast(PARTS))
-    attached = F.filter(parts, lambda p: _kind(p) != "text")
-    before = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i), lambda p: _kind(p) != "text"))
-    mark = lambda p, i: F.concat(F.lit("<|"), _kind(p), F.lit(":"), before(i).cast("string"), F.lit(":"), _tokens(p).cast("string"), F.lit("|>"))
-    body = F.transform(parts, lambda p, i: F.when(_kind(p) == "text", escape(p["text"])).otherwise(mark(p, i)))
-    described = F.transform(attached, lambda p: F.struct(_kind(p).alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
-    total = F.aggregate(attached, F.lit(0).cast("long"), lambda a, p: a + _tokens(p))
-    return turns.withColumns({"body": F.array_join(body, ""), "attachments": described, "n_expanded": total})
+def _visit(parts: Column, first: Column) -> Column:
+    """struct<n, out>: the pieces of a turn's body, placeholders numbered from first, and the number that comes next."""
+    start = F.struct(first.cast("int").alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, p: Column) -> Column:
+        mark = F.concat(F.lit("<|"), _kind(p), F.lit(":"), state["n"].cast("string"), F.lit(":"), _tokens(p).cast("string"), F.lit("|>"))
+        text = _kind(p) == "text"
+        piece = F.when(text, escape(p["text"])).otherwise(mark)
+        return F.struct((state["n"] + F.when(text, 0).otherwise(1)).alias("n"), F.concat(state["out"], F.array(piece)).alias("out"))
+
+    return F.aggregate(parts, start, step)
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts") -> DataFrame:
     """(conv_id, n_turns, formatted, attachments, n_expanded), a row for each conversation."""
-    flat = flatten(turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(parts_col).alias(parts_col)), parts_col)
-    wrapped = F.concat(F.lit("<|turn:"), escape(F.col("role")), F.lit("|>"), F.col("body"), F.lit("<|end|>"))
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), wrapped.alias("wrapped"), "attachments", "n_expanded")
-    grouped = flat.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    parts = F.coalesce(F.col(parts_col).cast(PARTS), F.array().cast(PARTS))
+    row = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), parts.alias("parts"))
+    grouped = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    every = F.flatten("rows.parts")
+    attached = F.filter(every, lambda p: _kind(p) != "text")
+    described = F.transform(attached, lambda p: F.struct(_kind(p).alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def turn(state: Column, r: Column) -> Column:
+        body = _visit(r["parts"], state["n"])
+        wrapped = F.concat(F.lit("<|turn:"), escape_role(r["role"]), F.lit("|>"), F.array_join(body["out"], ""), F.lit("<|end|>"))
+        return F.struct(body["n"].alias("n"), F.concat(state["out"], F.array(wrapped)).alias("out"))
+
     return grouped.select(
         "conv_id",
         F.size("rows").cast("long").alias("n_turns"),
-        F.array_join(F.col("rows.wrapped"), "").alias("formatted"),
-        F.flatten("rows.attachments").alias("attachments"),
-        F.aggregate(F.col("rows.n_expanded"), F.lit(0).cast("long"), lambda a, n: a + n).alias("n_expanded"),
+        F.aggregate("rows", start, turn, lambda s: F.array_join(s["out"], "")).alias("formatted"),
+        described.alias("attachments"),
+        F.aggregate(attached, F.lit(0).cast("long"), lambda a, p: a + _tokens(p)).alias("n_expanded"),
     )
 
 
 def parse(formatted: Column) -> Column:
-    """array<struct<role, text>>: the turns read back from a formatted text."""
+    """array<struct<role, text, parts>>: the turns read back from a formatted text.
+
+    parts: array<struct<type, text, number, tokens>> in order; text: the turn's texts one after the other.
+    """
     chunks = F.filter(F.split(formatted, r"<\|turn:", -1), lambda x: x != "")
-    role = lambda x: unescape(F.substring_index(x, "|>", 1))
+    role = lambda x: unescape_role(F.substring_index(x, "|>", 1))
     rest = lambda x: F.substr(x, F.instr(x, "|>") + 2)
-    body = lambda x: unescape(F.substring_index(rest(x), "<|end|>", 1))
-    return F.transform(chunks, lambda x: F.struct(role(x).alias("role"), body(x).alias("text")))
+    body = lambda x: F.substr(rest(x), F.lit(1), F.length(rest(x)) - len("<|end|>"))
+    pieces = lambda x: F.regexp_extract_all(body(x), F.lit(r"<\|[a-z]+:\d+:\d+\|>|[^<]+"), F.lit(0))
+    field = lambda p, i: F.split_part(F.regexp_replace(p, r"^<\||\|>$", ""), F.lit(":"), F.lit(i))
+
+    def typed(p: Column) -> Column:
+        text = ~p.startswith("<|")
+        return F.struct(
+            F.when(text, "text").otherwise(field(p, 1)).alias("type"), F.when(text, unescape(p)).alias("text"),
+            F.when(~text, F.try_to_number(field(p, 2), F.lit("999999999")).cast("int")).alias("number"),
+            F.when(~text, F.try_to_number(field(p, 3), F.lit("999999999999999999")).cast("long")).alias("tokens"),
+        )
+
+    def read(x: Column) -> Column:
+        texts = F.array_join(F.filter(pieces(x), lambda p: ~p.startswith("<|")), "")
+        return F.struct(role(x).alias("role"), unescape(texts).alias("text"), F.transform(pieces(x), typed).alias("parts"))
+
+    return F.transform(chunks, read)
 
 
 def loss_text(turns: Column, role: str = "assistant") -> Column:
@@ -118,7 +155,7 @@ SQL = r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e as (select *, 7 + length(role) + 2 * 0 + 2 + length(text) + 7
-  + length(regexp_replace(role || text, '[^<\\]', '', 'g')) as chars from c),
+  + length(regexp_replace(role || text, '[^<\\]', '', 'g')) + length(regexp_replace(role, '[^|]', '', 'g')) as chars from c),
 g as (select conv_id, count(*)::bigint as n_turns,
   string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as said,
   coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '') as loss,

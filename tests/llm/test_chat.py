@@ -15,6 +15,7 @@ def test_texts_read_back_whatever_they_say(spark):
     rows = [(1, i, "user" if i % 2 else "assistant", t) for i, t in enumerate(nasty)]
     got = chat.format_chats(turns_of(spark, rows)).withColumn("read", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("read"))).first()
     assert [(r["role"], r["text"]) for r in got["read"]] == [(r[2], r[3]) for r in rows]
+    assert all([(p["type"], p["text"]) for p in r["parts"]] == ([("text", row[3])] if row[3] else []) for r, row in zip(got["read"], rows))
     assert got["loss"] == "".join(r[3] for r in rows if r[2] == "assistant")
     assert got["n_turns"] == len(rows)
 
@@ -28,10 +29,22 @@ def test_parts_become_numbered_placeholders(spark):
     assert got["n_expanded"] == 775
 
 
+def test_roles_with_marks_and_parts_read_back(spark):
+    turns = [
+        (1, 0, "a|>b", [("text", "<|image:0:256|>", None, None), ("image", None, "x", None), ("text", "t", None, None)]),
+        (1, 1, "<|end|>", [("audio", None, "y", 7), ("text", "", None, None), ("image", None, "z", 1)]),
+    ]
+    got = chat.format_chats(spark.createDataFrame(turns, f"conv_id long, turn long, role string, parts {chat.PARTS}")).withColumn("read", chat.parse(F.col("formatted"))).first()
+    assert [r["role"] for r in got["read"]] == ["a|>b", "<|end|>"]
+    parts = [[(p["type"], p["text"], p["number"], p["tokens"]) for p in r["parts"]] for r in got["read"]]
+    assert parts == [[("text", "<|image:0:256|>", None, None), ("image", None, 0, 256), ("text", "t", None, None)], [("audio", None, 1, 7), ("image", None, 2, 1)]]
+    assert [a["ref"] for a in got["attachments"]] == ["x", "y", "z"] and got["read"][0]["text"] == "<|image:0:256|>t"
+
+
 def test_edges(spark):
     rows = [(1, None, None, None), (1, 0, "user", "x"), (1, 0, "user", "x"), (1, 0, "assistant", "y"), (None, 3, "user", "z" * 100_000)]
     got = {r["conv_id"]: r for r in chat.format_chats(turns_of(spark, rows)).withColumn("read", chat.parse(F.col("formatted"))).collect()}
-    assert [tuple(x) for x in got[1]["read"]] == [("", ""), ("assistant", "y"), ("user", "x"), ("user", "x")]
+    assert [(x["role"], x["text"]) for x in got[1]["read"]] == [("", ""), ("assistant", "y"), ("user", "x"), ("user", "x")]
     assert len(got[None]["read"][0]["text"]) == 100_000
     assert chat.format_chats(turns_of(spark, rows).limit(0)).count() == 0
     assert chat.format_chats(turns_of(spark, rows).withColumn("body", F.lit(1)).withColumn("rows", F.lit(1))).count() == 2
