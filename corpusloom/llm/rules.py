@@ -2,7 +2,8 @@
 
 Base counts are taken from each whole text where it is read. Cross-document rule: a line is normalised (ASCII
 lower case, digits as 0, runs of white space as one space), and for each host the distinct texts that hold it are counted;
-exact copies of a text count once, so a popular document isn't its own boilerplate. Lines of more than
+exact copies of a text count once, so a popular document isn't its own boilerplate (copies=True counts every
+document instead). Lines of more than
 min_texts texts and more than max_share of the host's distinct texts are removed, and a document whose other
 lines keep fewer than min_words words, or less than min_kept of its words, is rejected.
 
@@ -108,15 +109,15 @@ def measure(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", t
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
-          min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE, min_kept: float = MIN_KEPT) -> DataFrame:
-    """A row for each of docs: doc_id, host, the base counts, base_failed, kept_words (in lines below the limits), kept."""
+          min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE, min_kept: float = MIN_KEPT, copies: bool = False) -> DataFrame:
+    """copies: count every copy of a text, not each text once. A row for each of docs: doc_id, host, the base counts, base_failed, kept_words (in lines below the limits), kept."""
     rows = materialize(measure(docs, id_col, host_col, text_col), "rules-measured")
     host = F.xxhash64("host").alias("h")
-    texts = rows.groupBy(host, F.col("text_hash").alias("t")).agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
+    texts = rows.groupBy(host, F.col("text_hash").alias("t")).agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"), (F.count("*") if copies else F.lit(1)).alias("copies"))
     texts = materialize(texts, "rules-texts")
-    sizes = texts.groupBy("h").agg(F.count("*").alias("host_texts"))
-    lines = texts.select("h", "t", F.explode(F.array_distinct("lines")).alias("line"))
-    common = lines.groupBy("h", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_texts)
+    sizes = texts.groupBy("h").agg(F.sum("copies").alias("host_texts"))
+    lines = texts.select("h", "copies", F.explode(F.array_distinct("lines")).alias("line"))
+    common = lines.groupBy("h", "line").agg(F.sum("copies").alias("n")).filter(F.col("n") > min_texts)
     common = common.join(sizes, "h").filter(F.col("n") > F.lit(max_share) * F.col("host_texts")).select("h", "line")
     pairs = texts.select("h", "t", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
     pairs = pairs.select("h", "t", F.col("x.lines").alias("line"), F.col("x.line_words").alias("w"))

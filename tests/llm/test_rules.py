@@ -32,6 +32,19 @@ def test_a_line_above_the_limit_goes_and_depleted_documents_are_rejected(spark):
     assert all(got[200 + i]["kept"] for i in range(60))
 
 
+def test_what_the_share_misses_and_what_counting_copies_finds(spark):
+    common = "one line of twenty words or more that a part of the documents of a large host have in common with each other"
+    own = lambda i: " ".join(f"w{i}{chr(97 + k)}{chr(97 + i % 26)}" for k in range(4)).translate(str.maketrans("0123456789", "ghijklmnop"))
+    rows = [(i, "host", f"{common}\n{own(i)}" if i < 50 else f"{own(i)} {own(2000 + i)} {own(4000 + i)} {own(6000 + i)} {own(8000 + i)} {own(9000 + i)}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    kept = lambda **options: {r["doc_id"] for r in rules.judge(docs, **options).filter("kept").collect()}
+    assert kept() == set(range(1000))  # a line of 5 % of its host's texts stays under the default of 10 %
+    assert kept(max_share=0.02) == set(range(50, 1000))
+    same = spark.createDataFrame([(i, "host", rows[500][2] if i < 200 else rows[i][2]) for i in range(200, 1000)] + [(2000 + i, "host", rows[500][2]) for i in range(200)], docs.schema)
+    gone = {r["doc_id"] for r in rules.judge(same, copies=True).filter("not kept").collect()}
+    assert {2000 + i for i in range(200)} <= gone and not rules.judge(same).filter("not kept").count()
+
+
 def test_edges(edge, clash, empty):
     rows = rules.judge(clash).collect()
     assert len(rows) == edge.count()
