@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.functions import validate
-from corpusloom.operators import lines, merge, model, planning, routing, scoring
+from corpusloom.operators import lines, merge, model, planning, routing, runs, scoring
 from corpusloom.plans import duck
 from corpusloom.sources import files, synthetic
 from corpusloom.streaming import landing
@@ -114,7 +114,6 @@ _PREDICATES: dict[str, tuple[Callable[[Column], Column], str]] = {
     "p06_table_like": (t.is_table_like, duck.TABLE_LIKE),
     "p07_may_be_header": (t.may_be_header, duck.MAY_BE_HEADER),
     "p09_heading_start": (t.is_heading_start, duck.matches(t.HEADING_START)),
-    "p10_list_marker": (t.is_list_marker, duck.matches(t.LIST_MARKER, False)),
     "p11_field_label": (t.is_field_label, duck.matches(t.FIELD_LABEL, False)),
 }
 
@@ -193,7 +192,7 @@ def _(spark, sf_dir):
 
 # --- Blocks and scores ------------------------------------------------------------------------------------
 def _scores(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFrame:
-    blocks = scoring.segment(_contracts(spark, sf_dir).withColumn("normalized", F.translate("text", "\f", "\n")))
+    blocks = scoring.segment(lines.normalize(_contracts(spark, sf_dir)))
     return scoring.score(scoring.unit_values(blocks), scoring.VARIANTS[version])
 
 
@@ -248,8 +247,7 @@ def _(spark, sf_dir):
 
 @query("c05_plan")
 def _(spark, sf_dir):
-    docs = _contracts(spark, sf_dir).select("doc_id", F.translate("text", "\f", "\n").alias("normalized"))
-    return planning.plan(docs, 900, scoring.VARIANTS[4], planning.Settings(direct=800, target=800, chunk_target=600, supporting=200, head=200, tail=100))
+    return planning.plan(lines.normalize(_contracts(spark, sf_dir)), 900, scoring.VARIANTS[4], planning.Settings(direct=800, target=800, chunk_target=600, supporting=200, head=200, tail=100))
 
 
 @query("c06_reduced_plan")
@@ -440,8 +438,10 @@ def _(spark, sf_dir):
 
 @query("c07_run_calls")
 def _(spark, sf_dir):
-    docs = _contracts(spark, sf_dir).select("doc_id", F.lit(0).alias("call_no"), "text", F.substring("text", 1, 200).alias("reduced"))
-    return model.run_calls(docs, model.EchoClient(invalid_first=True), model.Profile("small", "echo"), _SCHEMA)
+    docs = lines.normalize(_contracts(spark, sf_dir))
+    settings = planning.Settings(direct=800, target=800, chunk_target=600, supporting=200, head=200, tail=100)
+    schema = {"type": "object", "properties": {f: {} for g in scoring.VARIANTS[4] for f in g.fields}}
+    return runs.extract(docs, model.EchoClient(invalid_first=True), model.Profile("small", "echo"), schema, 1500, scoring.VARIANTS[4], settings)[1]
 
 
 @query(
@@ -459,3 +459,6 @@ def _(spark, sf_dir):
 @query("st_windowed_events", "select time_bucket(interval '5 minutes', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def _(spark, sf_dir):
     return landing.windowed_counts(_table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+from corpusloom.plans import records  # noqa: E402, F401  (registers further queries)

@@ -33,7 +33,9 @@ def test_equals_the_oracle(spark, sf_dir, con, name):
 def test_plans_keep_budgets_and_quote_the_text(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    texts = {r["doc_id"]: r["text"].replace("\f", "\n") for r in catalogue._contracts(spark, sf_dir).filter("doc_id < 20").collect()}
+    from corpusloom.operators import lines
+
+    texts = {r["doc_id"]: r["normalized"] for r in lines.normalize(catalogue._contracts(spark, sf_dir).filter("doc_id < 20")).collect()}
     rows = catalogue.QUERIES["c05_plan"](spark, sf_dir).filter(F.col("doc_id") < 20).collect()
     assert {r["doc_id"] for r in rows} == set(texts)
     for r in rows:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.functions import validate
-from corpusloom.operators import lines, model, planning, routing, scoring
+from corpusloom.operators import lines, model, planning, routing, runs, scoring
 from corpusloom.sources import files
 from corpusloom.streaming import landing
 
@@ -159,6 +159,35 @@ def test_calls_repair_and_fall_back(spark):
     assert json.loads(again[1]["answer"]) == {"a": None}
 
 
+def test_a_whole_run(spark):
+    import re
+
+    class Reader:
+        """Answers with what the text says: the vendor, the amount and a note."""
+
+        def generate(self, prompt, schema, profile, seconds):
+            if len(prompt) > 6000:
+                return model.Reply(error_code="ai_timeout")
+            vendor, amount = re.search(r"Anbieter: (\w+)", prompt), re.search(r"Betrag: (\d+) EUR", prompt)
+            answer = {"vendor_name": vendor and vendor[1], "amount": amount and int(amount[1]), "currency": "EUR" if amount else None, "notes": "gelesen"}
+            return model.Reply(json.dumps(answer), metrics={"prompt_eval_count": 10, "eval_count": 3, "eval_duration": 2_000_000})
+
+    short = "Anbieter: Muster\nBetrag: 450 EUR monatlich."
+    filler = "\n\n".join(f"Absatz {k} ohne Belang, " + "der nur Platz braucht und sonst nichts sagt " * 8 for k in range(30))
+    long = f"Anbieter: Muster\n\n{filler}\n\n§ 9 Vergütung\nBetrag: 900 EUR monatlich."
+    broken = "x" * 7000
+    docs = spark.createDataFrame([(1, short), (2, long), (3, broken)], "doc_id long, normalized string")
+    schema = {"type": "object", "properties": {f: {} for f in ("vendor_name", "amount", "currency", "notes")}}
+    fields, run = runs.extract(docs, Reader(), model.Profile("p", "m", 90), schema, 7000)
+    got = {(r["doc_id"], r["field"]): r["value"] for r in fields.collect()}
+    assert got[1, "vendor_name"] == "Muster" and got[1, "amount"] == "450" and got[1, "notes"] == "gelesen"
+    assert got[2, "amount"] == "900" and got[2, "vendor_name"] == "Muster"
+    told = {r["doc_id"]: r for r in run.collect()}
+    assert told[1]["prompt_tokens_total"] == 10 and told[1]["total_ms"] == 2.0 and told[1]["conflicts"] == 0 and told[1]["error_code"] is None
+    assert told[3]["error_code"] is None and told[3]["fell_back"] == 1 and told[3]["prompt_tokens_total"] is None  # the reduced text did
+    assert got[3, "vendor_name"] is None and got[3, "notes"] == "gelesen"
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("Grüße und ein langer Text, der für sich genügt".encode())
     (tmp_path / "b.txt").write_bytes("Gr\xfc\xdfe \x80".encode("latin-1"))
