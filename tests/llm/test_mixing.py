@@ -51,9 +51,9 @@ def test_pairing_keeps_words_and_expectations():
 
 
 def test_a_leaf_is_rounded_in_pairs_against_each_other():
-    """Neighbours repel each other; after an outlier the shift that the small ones share correlates them by 0.1 or so. What stays fractional is small."""
-    sizes = [900, 400, 390, 120, 110, 100, 90, 80, 75, 60, 50, 45, 30, 25, 20, 15, 12, 10, 8, 5]
-    x, n = 0.35, 6000
+    """Neighbours repel each other, no two documents are drawn together, and what stays fractional is small."""
+    sizes = sorted((np.random.default_rng(1).lognormal(5, 1, 200).astype(int) + 1).tolist(), reverse=True)
+    x, n = 0.35, 1500
     taken, left = np.zeros((n, len(sizes))), []
     for seed in range(n):
         docs = [[i, s, x] for i, s in enumerate(sizes)]
@@ -64,11 +64,11 @@ def test_a_leaf_is_rounded_in_pairs_against_each_other():
         left += [d[1] for d in open_]
         for i, _, d in docs:
             taken[seed, i] = d
-    assert np.abs(taken.mean(axis=0) - x).max() < 0.03
+    assert np.abs(taken.mean(axis=0) - x).max() < 0.06
     together = taken.T @ taken / n - np.outer(taken.mean(axis=0), taken.mean(axis=0))
-    assert (together - np.diag(np.diag(together))).max() < 0.03
-    assert all(together[i, i + 1] < 0 for i in range(3))
-    assert np.mean(left) < 100
+    assert (together - np.diag(np.diag(together))).max() < 0.05  # chance alone gives 0.025
+    assert np.mean([together[i, i + 1] for i in range(199)]) < -0.01
+    assert np.mean(left) < np.median(sizes)
 
 
 def test_rows_without_an_id_are_rounded_one_by_one(spark):
