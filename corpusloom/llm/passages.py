@@ -296,7 +296,7 @@ _SPANS = "array<struct<start:long,end:long>>"
 
 
 def _uncovered(members: DataFrame, spans: DataFrame) -> DataFrame:
-    """members (key, uid, packed, lead, lead_packed) whose starts no span (uid, start, end) covers; a text has no more rows than words."""
+    """members (key, uid, packed, lead) whose starts no span (uid, start, end) covers; a text has no more rows than words."""
     own = members.groupBy("uid").agg(F.collect_list(F.struct(*(c for c in members.columns if c != "uid"))).alias("own"))
     done = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("done"))
     low = lambda m: _place(m["packed"]) - F.shiftrightunsigned(m["packed"], 6).bitwiseAND(F.lit(63))
@@ -312,7 +312,9 @@ def _place(packed: Column) -> Column:
 
 def _near(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(uid, lead, start, end): what of members is similar to their leader, at the offsets that their places propose."""
-    others = members.filter("uid <> lead").select("uid", "lead", (_place(F.col("packed")) - _place(F.col("lead_packed"))).alias("offset"))
+    leads = members.filter("uid = lead").groupBy("key").agg(F.min("packed").alias("lead_packed"))
+    others = members.filter("uid <> lead").join(materialize(leads, "passages-leads"), "key")
+    others = others.select("uid", "lead", (_place(F.col("packed")) - _place(F.col("lead_packed"))).alias("offset"))
     pairs = others.groupBy("uid", "lead").agg(F.collect_set("offset").alias("offsets"))  # as long as the text at most
     pairs = materialize(pairs, "passages-pairs")  # so that joins with a popular leader can be split
     pairs = pairs.join(texts, "uid").join(texts.select(F.col("uid").alias("lead"), F.col("text").alias("lead_text")), "lead")
@@ -322,9 +324,9 @@ def _near(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _led(members: DataFrame) -> DataFrame:
-    """(key, lead, lead_packed) of each signature that two texts share, written: a join with it can be split at a popular key."""
-    first = members.groupBy("key").agg(F.min(F.struct("uid", "packed")).alias("f"), F.max("uid").alias("top"))
-    return materialize(first.filter("f.uid < top").select("key", F.col("f.uid").alias("lead"), F.col("f.packed").alias("lead_packed")), "passages-led")
+    """(key, lead) of each signature that two texts share, written: a join with it can be split at a popular key."""
+    first = members.groupBy("key").agg(F.min("uid").alias("lead"), F.max("uid").alias("top"))
+    return materialize(first.filter("lead < top").select("key", "lead"), "passages-led")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -336,12 +338,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _spans_of(docs: DataFrame, id_col: str, text_col: str, uid_col: str) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col(uid_col).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = _candidates(rows)  # computed once for the signatures and once for their rows: cheaper than a written table
-    members = materialize(found.join(_led(found), "key").select("key", "uid", "packed", "lead", "lead_packed"), "passages-members")
+    members = materialize(found.join(_led(found), "key").select("key", "uid", "packed", "lead"), "passages-members")
     texts = materialize(rows.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "text"), "passages-texts")
     spans = _near(members, texts)
     open_ = materialize(_uncovered(members.filter("uid <> lead"), spans), "passages-open")
     for _ in range(ROUNDS - 1):
-        again = open_.drop("lead", "lead_packed")
+        again = open_.drop("lead")
         led = _led(again)
         if led.isEmpty():
             break
