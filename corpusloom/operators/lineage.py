@@ -121,7 +121,7 @@ def probe_report(docs: DataFrame, sent: DataFrame, probes: tuple[str, ...], widt
     steps = counts.groupBy("doc_id", "i").agg(F.sort_array(F.collect_list(F.struct("stage", "name", "n"))).alias("steps"))
     out = texts.join(steps, ["doc_id", "i"], "left")
     # a stage without a line of the document has no row: everything was lost there
-    at = lambda name: F.coalesce(F.filter("steps", lambda s: s["name"] == name)[0]["n"], F.lit(0))
+    at = lambda name: F.coalesce(F.get(F.filter("steps", lambda s: s["name"] == name), 0)["n"], F.lit(0))
     ordered = list(found)
     drops = [F.when(at(after) < at(before), F.lit(after)) for before, after in zip(ordered, ordered[1:])]
     drops += [F.when(F.col("normalized") < at(ordered[-1]), PARAGRAPH), F.when(F.col("sent") < F.col("normalized"), SELECTION)]
