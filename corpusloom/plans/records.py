@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
-from corpusloom.operators import lines, planning, prompts, scoring
+from corpusloom.operators import lines, model, planning, prompts, scoring
 from corpusloom.plans import duck
 from corpusloom.plans.catalogue import _digest, _table, query
 from corpusloom.sources import files, synthetic
@@ -82,7 +83,11 @@ def _(spark, sf_dir):
 
 @query("n29_milliseconds", "select event_id, round_even(value * 1000 / 1000000::double, 1) as ms from events where value is not null")
 def _(spark, sf_dir):
-    return _table(spark, sf_dir, "events").filter("value is not null").select("event_id", F.bround(F.col("value") * 1000 / F.lit(1e6), 1).alias("ms"))
+    @F.pandas_udf("double")
+    def milliseconds(nanoseconds: pd.Series) -> pd.Series:
+        return nanoseconds.map(model.milliseconds)
+
+    return _table(spark, sf_dir, "events").filter("value is not null").select("event_id", milliseconds(F.col("value") * 1000).alias("ms"))
 
 
 @query("n30_n31_call_seconds", "select p_partkey, least(greatest(p_size * 5, 120), 180) as warmup, case when 90 - p_size * 2 > 0 then least(60, 90 - p_size * 2) end as bound, case when 90 - p_size * 2 <= 0 then 'ai_timeout' end as error_code from part")
@@ -103,14 +108,16 @@ def _(spark, sf_dir):
 
 @query("p19_direct", "select doc_id, length(text) <= 8000 and length(text) <= 5200 as direct from documents")
 def _(spark, sf_dir):
-    budget = 5200
-    return _table(spark, sf_dir, "documents").select("doc_id", (F.length("text") <= min(planning.Settings().direct, budget)).alias("direct"))
+    return _table(spark, sf_dir, "documents").select("doc_id", planning.goes_direct("text", 5200).alias("direct"))
 
 
 @query("p21_fallback_possible", "select doc_id, length(text) >= 2000 and (doc_id % 90) * 0.35::double >= 15 as possible from documents")
 def _(spark, sf_dir):
-    left = (F.col("doc_id") % 90) * F.lit(1 - planning.PRIMARY_SHARE)
-    return _table(spark, sf_dir, "documents").select("doc_id", ((F.length("text") >= planning.FALLBACK_CHARS) & (left >= planning.FALLBACK_SECONDS)).alias("possible"))
+    @F.pandas_udf("boolean")
+    def possible(chars: pd.Series, seconds: pd.Series) -> pd.Series:
+        return pd.Series([model.fallback_possible(c, model.Profile("p", "m", s)) for c, s in zip(chars, seconds)], dtype="boolean")
+
+    return _table(spark, sf_dir, "documents").select("doc_id", possible(F.length("text"), F.col("doc_id") % 90).alias("possible"))
 
 
 _EXT = "case doc_id % 5 when 0 then 'pdf' when 1 then 'png' when 2 then 'txt' when 3 then 'docx' else 'exe' end"
