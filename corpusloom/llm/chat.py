@@ -14,7 +14,7 @@ A conversation is as long as its turns: the turns of one are collected into one
 asked for; conversations are dealt by id.
 
 Defined cases: null texts, roles and part lists are empty; an unknown kind of part is a document; missing
-token counts take the kind's default; turns without number come first; equal turn numbers are ordered by role
+token counts take the kind's default, negative ones are 0; turns without number come first; equal turn numbers are ordered by role
 and then by content; repeated rows are turns of their own; a null conv_id is a conversation; further columns
 are ignored.
 """
@@ -62,20 +62,21 @@ def _tokens(part: Column) -> Column:
     default = F.lit(0)
     for kind, n in DEFAULT_TOKENS.items():
         default = F.when(_kind(part) == kind, n).otherwise(default)
-    return F.coalesce(part["tokens"], default.cast("long"))
+    return F.greatest(F.coalesce(part["tokens"], default.cast("long")), F.lit(0).cast("long"))
 
 
-def _visit(parts: Column, first: Column) -> Column:
-    """struct<n, out>: the pieces of a turn's body, placeholders numbered from first, and the number that comes next."""
-    start = F.struct(first.cast("int").alias("n"), F.array().cast("array<string>").alias("out"))
+def _pieces(turn: Column, place: Column) -> Column:
+    """array<struct<turn, part, kind, text, ref, tokens>>: the marks around a turn and its parts, numbered in the turn."""
 
-    def step(state: Column, p: Column) -> Column:
-        mark = F.concat(F.lit("<|"), _kind(p), F.lit(":"), state["n"].cast("string"), F.lit(":"), _tokens(p).cast("string"), F.lit("|>"))
-        text = _kind(p) == "text"
-        piece = F.when(text, escape(p["text"])).otherwise(mark)
-        return F.struct((state["n"] + F.when(text, 0).otherwise(1)).alias("n"), F.concat(state["out"], F.array(piece)).alias("out"))
+    def piece(part: Column, kind: Column, text: Column, ref: Column, tokens: Column) -> Column:
+        named = {"turn": place, "part": part, "kind": kind, "text": text, "ref": ref, "tokens": tokens}
+        return F.struct(*(x.alias(name) for name, x in named.items()))
 
-    return F.aggregate(parts, start, step)
+    mark = lambda part, text: piece(part, F.lit("mark"), text, F.lit(None).cast("string"), F.lit(0).cast("long"))
+    head = mark(F.lit(-1), F.concat(F.lit("<|turn:"), escape_role(turn["role"]), F.lit("|>")))
+    tail = mark(F.size(turn["parts"]), F.lit("<|end|>"))
+    body = F.transform(turn["parts"], lambda p, i: piece(i, _kind(p), escape(p["text"]), p["ref"], _tokens(p)))
+    return F.concat(F.array(head), body, F.array(tail))
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts") -> DataFrame:
@@ -83,22 +84,24 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     parts = F.coalesce(F.col(parts_col).cast(PARTS), F.array().cast(PARTS))
     row = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), parts.alias("parts"))
     grouped = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    every = F.flatten("rows.parts")
-    attached = F.filter(every, lambda p: _kind(p) != "text")
-    described = F.transform(attached, lambda p: F.struct(_kind(p).alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-
-    def turn(state: Column, r: Column) -> Column:
-        body = _visit(r["parts"], state["n"])
-        wrapped = F.concat(F.lit("<|turn:"), escape_role(r["role"]), F.lit("|>"), F.array_join(body["out"], ""), F.lit("<|end|>"))
-        return F.struct(body["n"].alias("n"), F.concat(state["out"], F.array(wrapped)).alias("out"))
-
-    return grouped.select(
+    laid = grouped.withColumn("pieces", F.flatten(F.transform("rows", _pieces)))
+    attached = F.filter("pieces", lambda p: ~p["kind"].isin("mark", "text"))
+    # attachments are numbered by their place among themselves and sorted back in: no step copies what came before it
+    kept = F.filter("pieces", lambda p: p["kind"].isin("mark", "text"))
+    said = F.transform(kept, lambda p: F.struct(p["turn"].alias("turn"), p["part"].alias("part"), p["text"].alias("out")))
+
+    def placeholder(p: Column, number: Column) -> Column:
+        out = F.concat(F.lit("<|"), p["kind"], F.lit(":"), number.cast("string"), F.lit(":"), p["tokens"].cast("string"), F.lit("|>"))
+        return F.struct(p["turn"].alias("turn"), p["part"].alias("part"), out.alias("out"))
+
+    placed = F.array_sort(F.concat(said, F.transform("attached", placeholder)))
+    done = laid.withColumn("attached", attached).withColumn("placed", placed)
+    return done.select(
         "conv_id",
         F.size("rows").cast("long").alias("n_turns"),
-        F.aggregate("rows", start, turn, lambda s: F.array_join(s["out"], "")).alias("formatted"),
-        described.alias("attachments"),
-        F.aggregate(attached, F.lit(0).cast("long"), lambda a, p: a + _tokens(p)).alias("n_expanded"),
+        F.array_join("placed.out", "").alias("formatted"),
+        F.transform("attached", lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"))).alias("attachments"),
+        F.aggregate("attached", F.lit(0).cast("long"), lambda a, p: a + p["tokens"]).alias("n_expanded"),
     )
 
 
@@ -118,8 +121,8 @@ def parse(formatted: Column) -> Column:
         text = ~p.startswith("<|")
         return F.struct(
             F.when(text, "text").otherwise(field(p, 1)).alias("type"), F.when(text, unescape(p)).alias("text"),
-            F.when(~text, F.try_to_number(field(p, 2), F.lit("999999999")).cast("int")).alias("number"),
-            F.when(~text, F.try_to_number(field(p, 3), F.lit("999999999999999999")).cast("long")).alias("tokens"),
+            F.when(~text, field(p, 2).try_cast("int")).alias("number"),
+            F.when(~text, field(p, 3).try_cast("long")).alias("tokens"),
         )
 
     def read(x: Column) -> Column:

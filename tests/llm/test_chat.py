@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -55,3 +56,26 @@ def test_planted_conversation(spark, sf_dir):
     text = "</s>[INST] ok [/INST]"
     assert got["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert got["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got["loss_chars"] == len(text)
+
+
+def test_long_conversations_are_formatted_in_linear_time(spark):
+    """80,000 turns, every third with an attachment, and one turn of 80,000 parts."""
+    attach = "if(id % 3 = 0, named_struct('type', 'image', 'text', null, 'ref', string(id), 'tokens', 2L), named_struct('type', 'text', 'text', string(id), 'ref', null, 'tokens', null))"
+    turns = spark.range(80_000).selectExpr("1L as conv_id", "id as turn", "'user' as role", f"array({attach}) as parts")
+    one = spark.range(80_000).selectExpr("2L as conv_id", "0L as turn", "'user' as role", f"{attach} as part", "id").groupBy("conv_id", "turn", "role")
+    one = one.agg(F.expr("transform(array_sort(collect_list(struct(id, part))), x -> x.part)").alias("parts"))
+    began = time.monotonic()
+    got = {r["conv_id"]: r for r in chat.format_chats(turns.union(one)).withColumn("read", chat.parse(F.col("formatted"))).collect()}
+    assert time.monotonic() - began < 60
+    body = [f"<|image:{i // 3}:2|>" if i % 3 == 0 else str(i) for i in range(80_000)]
+    assert got[1]["formatted"] == "".join(f"<|turn:user|>{x}<|end|>" for x in body)
+    assert got[2]["formatted"] == f"<|turn:user|>{''.join(body)}<|end|>"
+    assert len(got[1]["read"]) == 80_000 and [p["number"] for p in got[2]["read"][0]["parts"] if p["type"] == "image"] == list(range(26_667))
+    assert got[1]["n_expanded"] == got[2]["n_expanded"] == 2 * 26_667 and len(got[2]["attachments"]) == 26_667
+
+
+def test_negative_token_counts_are_none(spark):
+    turn = spark.createDataFrame([(1, 0, "user", [("image", None, "a", -5), ("audio", None, "b", 2**63 - 1)])], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    got = chat.format_chats(turn).withColumn("read", chat.parse(F.col("formatted"))).first()
+    assert got["formatted"] == f"<|turn:user|><|image:0:0|><|audio:1:{2**63 - 1}|><|end|>"
+    assert [(p["type"], p["number"], p["tokens"]) for p in got["read"][0]["parts"]] == [("image", 0, 0), ("audio", 1, 2**63 - 1)]
