@@ -7,9 +7,9 @@ LENGTH shingles matter, 2n / LENGTH of them, and the subsequences of that length
 interval of starts. For each band the intervals of its hash functions are joined: an interval of starts that
 share a whole signature becomes one row (signature, text, position). Equal signatures are candidates.
 
-The first text of a signature leads it; every other is verified against the leader: shingles are compared at
-all the offsets that signatures propose for the two texts, and a subsequence is a repeat when its similarity
-(equal shingles over the union) is at least SIMILARITY. So a signature that thousands of texts share costs one
+The first text of a signature leads it; every other is verified against the leader: at each offset that signatures
+propose for the two texts, a subsequence of the one is compared with the subsequence of the other, and is a repeat
+when the similarity of their sets of shingles is at least SIMILARITY. So a signature that thousands of texts share costs one
 comparison for each, not all pairs. Starts that share a signature but that its leader doesn't explain are led anew,
 by the first text among them, in up to ROUNDS rounds. What is open then gets an exact round, with all places of the
 first leaders: equal contents of LENGTH shingles are repeats of their first text. A passage of LENGTH + SHINGLE - 1
@@ -41,6 +41,8 @@ LENGTH = 46
 BANDS = ((0, 1), (2, 3), (4, 5))
 #: Leaders that a signature tries before what is open is compared word for word.
 ROUNDS = 3
+#: Places beside an offset at which shingles count as equal, and passages that are compared at once.
+SHIFT, CHECKED = 2, 4096
 #: Bytes of texts whose signatures are computed together, and texts of one batch.
 PIECE, SLICE = 2_000_000, 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -194,19 +196,49 @@ def signatures(texts: list[bytes], length: int = LENGTH, bands=BANDS) -> tuple[n
     return np.concatenate(texts_out), np.concatenate(keys_out), np.concatenate(packed_out)
 
 
+def _alike(a: np.ndarray, b: np.ndarray, at: np.ndarray, offset: int, length: int, similarity: float) -> np.ndarray:
+    """Which of the passages of a that begin at these places are similar, as sets of shingles, to b's passage offset places before."""
+    out = np.zeros(len(at), bool)
+    for lo in range(0, len(at), CHECKED):
+        own, other = at[lo : lo + CHECKED, None] + np.arange(length), at[lo : lo + CHECKED, None] - offset + np.arange(length)
+        rows = [np.sort(x, axis=1) for x in (a[own], b[other], np.concatenate((a[own], b[other]), axis=1))]
+        one, two, union = ((np.diff(x, axis=1) != 0).sum(axis=1) + 1 for x in rows)
+        out[lo : lo + CHECKED] = one + two - union >= similarity * union - 1e-9
+    return out
+
+
 def similar_spans(a: np.ndarray, b: np.ndarray, offsets: list[int], length: int = LENGTH, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Spans of words of a that passages similar to b cover, both as shingles, at these offsets (place in a less place in b).
 
+    One passage of a is compared with one of b, which begins offset places before: their sets of shingles must be
+    similar, and as many shingles as that takes must be equal at the offset or up to SHIFT places beside it (a word put in
+    or left out moves what follows by one; passages that are similar have room for one such word).
     Overlapping passages are one span, which begins and ends with shingles that b has.
     """
-    equal = np.zeros(len(a), bool)
-    for o in offsets:
-        lo, hi = max(0, o), min(len(a), len(b) + o)
-        if lo < hi:
-            equal[lo:hi] |= a[lo:hi] == b[lo - o : hi - o]
-    total = np.concatenate(([0], np.cumsum(equal)))
-    same = total[length:] - total[:-length]
-    starts = np.flatnonzero(same >= similarity * (2 * length - same) - 1e-9)
+    places = np.arange(max(0, len(a) - length + 1))
+    open_ = np.ones(len(places), bool)
+    equal = np.zeros(len(a), bool)  # shingles of accepted passages that b's have too
+    for o in sorted(offsets, key=abs):
+        lo, hi = max(0, o), min(len(a), len(b) + o)  # the part of a beside b
+        here = slice(lo, max(lo, hi - length + 1))
+        if not open_[here].any():
+            continue
+        at = a[lo:hi]
+        near = at == b[lo - o : hi - o]
+        for shift in range(-SHIFT, SHIFT + 1):
+            first, last = max(lo, o + shift), min(hi, len(b) + o + shift)
+            near[first - lo : last - lo] |= a[first:last] == b[first - o - shift : last - o - shift]
+        total = np.concatenate(([0], np.cumsum(near)))
+        same = total[length:] - total[:-length]
+        tried = np.flatnonzero(open_[here] & (same >= similarity * (2 * length - same) - 1e-9)) + lo
+        good = tried[_alike(a, b, tried, o, length, similarity)]
+        if len(good):
+            open_[good] = False
+            edges = np.zeros(len(a) + 1, np.int64)
+            edges[good] += 1
+            edges[good + length] -= 1
+            equal[lo:hi] |= near & (np.cumsum(edges)[lo:hi] > 0)
+    starts = places[~open_]
     if not len(starts):
         return []
     cut = np.flatnonzero(np.diff(starts) > length)

@@ -18,6 +18,11 @@ def exact_repeats(docs):
     return need
 
 
+def windows(words):
+    """The sets of shingles of all windows of 50 words."""
+    return [{tuple(words[k : k + 5]) for k in range(i, i + 46)} for i in range(len(words) - 49)]
+
+
 def test_every_exact_repeat_is_found_and_every_finding_is_similar(spark):
     path = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in passages.repeats(read_table(spark, path, "documents")).collect()}
@@ -26,12 +31,20 @@ def test_every_exact_repeat_is_found_and_every_finding_is_similar(spark):
     for d, starts in exact_repeats(docs).items():
         spans = [tuple(s) for s in rows[d]["spans"]]
         assert all(any(a <= i and i + 50 <= b for a, b in spans) for i in starts)
-    shingles = lambda words: {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
     for d, r in rows.items():
-        around = set().union(*(shingles(docs[x]) for x in r["repeat_of"]))
+        own, at = windows(docs[d]), defaultdict(list)
+        others = {x: windows(docs[x]) for x in r["repeat_of"]}
+        for x in others:
+            for q in range(len(docs[x]) - 4):
+                at[tuple(docs[x][q : q + 5])].append((x, q))
         for a, b in r["spans"]:
-            own = shingles(docs[d][a:b])
-            assert len(own & around) >= 0.8 * len(own)
+            reached = set()
+            for i in range(max(0, a - 10), min(len(own), b)):
+                tried = {(x, q - k) for k in range(46) for x, q in at[tuple(docs[d][i + k : i + k + 5])]}
+                beside = [others[x][j] for x, j in tried if 0 <= j < len(others[x])]
+                if any(len(own[i] & w) >= 0.8 * len(own[i] | w) for w in beside):
+                    reached |= set(range(i, i + 50))
+            assert reached >= set(range(a, b))
 
 
 def test_planted_passages_with_one_changed_word(spark):
@@ -147,3 +160,41 @@ def test_edges(edge, clash, empty):
     assert 6 in by and 1 not in by and 7 not in by
     assert passages.remove_repeats(clash).columns == clash.columns
     assert passages.repeats(empty).count() == 0 and passages.remove_repeats(empty).count() == 0
+
+
+def test_two_short_pieces_are_no_passage(spark):
+    """Two pieces of 25 words, adjacent in one text and 300 words apart in the other: no window of 50 words is similar."""
+    rnd = random.Random(21)
+    words = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(120):
+        one, two = words(25), words(25)
+        rows += [(2 * k, " ".join([*words(40), *one, *words(300), *two, *words(40)])), (2 * k + 1, " ".join([*words(60), *one, *two, *words(60)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert passages.repeats(docs).count() == 0
+    assert {r["doc_id"]: r["text"] for r in passages.remove_repeats(docs).collect()} == dict(rows)
+
+
+def test_spans_equal_brute_force_over_windows():
+    """similar_spans against all windows of both texts: nothing else is reported; changed, added and missing words, repeats inside."""
+    rnd = random.Random(22)
+    found = missed = 0
+    for k in range(150):
+        word = lambda: f"w{rnd.randint(0, 30 if k % 3 == 0 else 10**6)}"
+        passage = [word() for _ in range(rnd.choice((50, 60, 90)))]
+        other = list(passage)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(other))
+            other[at : at + rnd.randint(0, 1)] = [word()] * rnd.randint(0, 1)
+        a = [*(word() for _ in range(rnd.randint(0, 40))), *other, *(word() for _ in range(30))]
+        b = [*(word() for _ in range(rnd.randint(0, 40))), *passage, *(word() for _ in range(30))]
+        with np.errstate(over="ignore"):
+            x, y = (passages._shingles(" ".join(t).encode()) for t in (a, b))
+        offsets = {i - j for i in range(len(x)) for j in range(len(y)) if x[i] == y[j]}
+        spans = passages.similar_spans(x, y, sorted(offsets))
+        theirs = windows(b)
+        alike = {i for i, w in enumerate(windows(a)) if any(len(w & v) >= 0.8 * len(w | v) for v in theirs)}
+        covered = set().union(*(range(lo, hi) for lo, hi in spans))
+        assert covered <= set().union(*(range(i, i + 50) for i in alike))
+        found, missed = found + bool(alike and spans), missed + bool(alike and not spans)
+    assert found > 60 and missed <= 0.02 * found
