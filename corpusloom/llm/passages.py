@@ -225,13 +225,16 @@ def similar_spans(a: np.ndarray, b: np.ndarray, offsets: list[int], length: int
             continue
         at = a[lo:hi]
         near = at == b[lo - o : hi - o]
+        whole = np.concatenate(([0], np.cumsum(near)))
+        whole = whole[length:] - whole[:-length] == length  # equal word for word: similar without a look at the sets
         for shift in range(-SHIFT, SHIFT + 1):
             first, last = max(lo, o + shift), min(hi, len(b) + o + shift)
             near[first - lo : last - lo] |= a[first:last] == b[first - o - shift : last - o - shift]
         total = np.concatenate(([0], np.cumsum(near)))
         same = total[length:] - total[:-length]
         tried = np.flatnonzero(open_[here] & (same >= similarity * (2 * length - same) - 1e-9)) + lo
-        good = tried[_alike(a, b, tried, o, length, similarity)]
+        sure = whole[tried - lo]
+        good = np.concatenate((tried[sure], tried[~sure][_alike(a, b, tried[~sure], o, length, similarity)]))
         if len(good):
             open_[good] = False
             edges = np.zeros(len(a) + 1, np.int64)
