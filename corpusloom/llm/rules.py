@@ -1,15 +1,20 @@
 """Quality rules: counts inside each text and cross-document line frequency.
 
 Base counts are taken from each whole text where it is read. Cross-document rule: a line is normalised (ASCII
-lower case, digits as 0, runs of white space as one space), and for each host the distinct texts that hold it are counted;
-exact copies of a text count once, so a popular document isn't its own boilerplate (copies=True counts every
-document instead). Lines of more than
-min_texts texts and more than max_share of the host's distinct texts are removed, and a document whose other
-lines keep fewer than min_words words, or less than min_kept of its words, is rejected.
-
-Only 64-bit hashes of lines are shuffled, each (host, line, text) once and then summed before the shuffle of
-the counts; a line that most documents of a hot host share is a few partial sums. Whether a text holds such a
-line comes back as one sum for each text.
+lower case, digits as 0, runs of white space as one space), and for each host the documents that hold it are counted.
+Copies of a document are one document: exact ones by the hash of their text, near ones by the contexts of the line,
+which are the least and the greatest hash among the text's other lines (a text of that line alone has the empty
+context); the mean of both numbers of distinct contexts counts. A document copied a thousand times, with a word changed
+here or there, so isn't its own boilerplate, while a line in a thousand documents that differ elsewhere has hundreds of
+contexts. Where they are fewer than min_free of a line's texts, the texts are near copies (about 8 of 9 lines alike)
+and the line stays. That depends on hashes: a group of near copies whose least or greatest hash lies far inside the
+range may lose a line (in the test one of twelve), and a header of many lines above little text may stay.
+Lines of more contexts than max(min_docs, per_decade * log10(texts of the host)) are removed: the limit grows from
+45 at a thousand texts to 90 at a million, so a line in a small part of a hot host's documents goes as well. A document
+whose other lines keep fewer than min_words words, or less than min_kept of its words, is rejected.
+
+Only 64-bit hashes of lines are shuffled: counts of (host, line) as partial sums, then (host, line, context) of lines
+in more than min_docs texts, which spreads a hot line over its contexts. What a text loses comes back as one sum.
 
 Defined cases: a null text counts as empty and fails the base rules (fewer than 20 words); a null host is a
 host of its own; blank lines are no lines; repeated rows are judged each by itself and alike.
@@ -17,6 +22,7 @@ host of its own; blank lines are no lines; repeated rows are judged each by itse
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, read_table
+from corpusloom.llm.common import materialize, read_table, release
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -33,8 +39,9 @@ MAX_REPEAT_PERCENT = 30
 #: Characters counted as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
-MIN_TEXTS = 20
-MAX_SHARE = 0.1
+MIN_DOCS = 20
+PER_DECADE = 15
+MIN_FREE = 0.25
 MIN_KEPT = 0.3
 _MIX = np.random.default_rng(8).integers(1, 1 << 63, WINDOW, np.uint64) | np.uint64(1)
 _NORMAL = bytes.maketrans(bytes(range(65, 91)) + b"123456789", bytes(range(97, 123)) + b"0" * 9)
@@ -82,7 +89,7 @@ def _line_hashes(raw: bytes) -> tuple[list[int], list[int]]:
     for line in raw.translate(_NORMAL).split(b"\n"):
         words = line.split()
         if words:
-            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63))
+            hashes.append(int.from_bytes(hashlib.md5(b" ".join(words), usedforsecurity=False).digest()[:8]) - (1 << 63))
             counts.append(len(words))
     return hashes, counts
 
@@ -109,21 +116,28 @@ def measure(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", t
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
-          min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE, min_kept: float = MIN_KEPT, copies: bool = False) -> DataFrame:
-    """copies: count every copy of a text, not each text once. A row for each of docs: doc_id, host, the base counts, base_failed, kept_words (in lines below the limits), kept."""
+          min_docs: int = MIN_DOCS, per_decade: float = PER_DECADE, min_free: float = MIN_FREE, min_kept: float = MIN_KEPT) -> DataFrame:
+    """A row for each of docs: doc_id, host, the base counts, base_failed, kept_words (in lines below the limits), kept."""
     rows = materialize(measure(docs, id_col, host_col, text_col), "rules-measured")
     host = F.xxhash64("host").alias("h")
-    texts = rows.groupBy(host, F.col("text_hash").alias("t")).agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"), (F.count("*") if copies else F.lit(1)).alias("copies"))
+    texts = rows.groupBy(host, F.col("text_hash").alias("t")).agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
     texts = materialize(texts, "rules-texts")
-    sizes = texts.groupBy("h").agg(F.sum("copies").alias("host_texts"))
-    lines = texts.select("h", "copies", F.explode(F.array_distinct("lines")).alias("line"))
-    common = lines.groupBy("h", "line").agg(F.sum("copies").alias("n")).filter(F.col("n") > min_texts)
-    common = common.join(sizes, "h").filter(F.col("n") > F.lit(max_share) * F.col("host_texts")).select("h", "line")
+    limits = texts.groupBy("h").agg(F.greatest(F.lit(float(min_docs)), per_decade * F.log10(F.count("*").cast("double"))).alias("most"))
+    lines = texts.select("h", F.array_sort(F.array_distinct("lines")).alias("all")).select("h", "all", F.posexplode("all").alias("k", "line"))
+    frequent = lines.groupBy("h", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") > min_docs)
+    first = F.get("all", F.when(F.col("k") == 0, 1).otherwise(0))
+    last = F.get("all", F.size("all") - F.when(F.col("k") == F.size("all") - 1, 2).otherwise(1))
+    seen = lines.select("h", "line", F.explode(F.array(F.struct(F.lit(0).alias("side"), first.alias("c")), F.struct(F.lit(1).alias("side"), last.alias("c")))).alias("x"))
+    seen = seen.join(frequent, ["h", "line"]).groupBy("h", "line", "texts", "x").agg(F.lit(1).alias("one"))
+    common = seen.groupBy("h", "line", "texts").agg((F.count("*") / 2).alias("n"))
+    common = common.filter((F.col("n") > min_docs) & (F.col("n") >= F.lit(min_free) * F.col("texts")))
+    common = common.join(limits, "h").filter(F.col("n") > F.col("most")).select("h", "line")
     pairs = texts.select("h", "t", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
     pairs = pairs.select("h", "t", F.col("x.lines").alias("line"), F.col("x.line_words").alias("w"))
     pairs = pairs.groupBy("h", "t", "line").agg(F.sum("w").alias("w"))
     lost = pairs.join(common, ["h", "line"]).groupBy("h", "t").agg(F.sum("w").alias("lost"))
     lost = materialize(lost, "rules-lost")
+    release(texts)
     keyed = rows.drop("lines", "line_words").withColumn("h", host).withColumnRenamed("text_hash", "t")
     keyed = keyed.join(lost, ["h", "t"], "left").withColumn("kept_words", F.col("n_words") - F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -136,7 +150,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words")
 
 
-#: The same rows in DuckDB's SQL. Distinct texts of a host stand for their copies.
+#: The same rows in DuckDB's SQL.
 SQL = r"""
 with d as (select doc_id, source, coalesce(text, '') t from documents),
 w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws from d),
@@ -146,8 +160,15 @@ ln as (select source, t, trim(regexp_replace(regexp_replace(translate(l, 'ABCDEF
   len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) k from ul),
 ok as (select * from ln where k > 0),
 sz as (select source, count(*) n from u group by 1),
-cm as (select o.source, o.l from ok o join sz on o.source is not distinct from sz.source group by 1, 2, sz.n
-  having count(distinct o.t) > 20 and count(distinct o.t) > 0.1 * sz.n),
+lh as (select distinct source, t, l, left(md5(l), 16) h from ok),
+two as (select source, t, list_sort(list(h)) hs from lh group by 1, 2),
+cx as (select source, l, t, case when h = hs[1] then hs[2] else hs[1] end a, case when h = hs[-1] then hs[-2] else hs[-1] end b
+  from lh join two using (source, t)
+  union all select lh.source, l, t, case when h = hs[1] then hs[2] else hs[1] end,
+  case when h = hs[-1] then hs[-2] else hs[-1] end from lh join two using (t) where lh.source is null and two.source is null),
+n as (select source, l, count(*) texts, (count(distinct coalesce(a, '')) + count(distinct coalesce(b, ''))) / 2 n from cx group by 1, 2),
+cm as (select n.source, n.l from n join sz on n.source is not distinct from sz.source
+  where n.n > greatest(20, 15 * log10(sz.n)) and n.n >= 0.25 * n.texts),
 lost as (select o.source, o.t, sum(o.k) lost from ok o join cm on o.source is not distinct from cm.source and o.l = cm.l group by 1, 2),
 dl as (select doc_id, source, t, unnest(string_split(t, chr(10))) l from d),
 dup as (select doc_id, count(*) - count(distinct l) n from dl where regexp_matches(l, '[^\x20\x09-\x0D]') group by 1),
