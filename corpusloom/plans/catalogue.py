@@ -461,4 +461,4 @@ def _(spark, sf_dir):
     return landing.windowed_counts(_table(spark, sf_dir, "events"), "ts", "event_type")
 
 
-from corpusloom.plans import diagnosis, records  # noqa: E402, F401  (register further queries)
+from corpusloom.plans import diagnosis, records, registries  # noqa: E402, F401  (register further queries)
