@@ -116,9 +116,3 @@ def run_totals(calls: DataFrame) -> DataFrame:
 def ordered_distinct(domains: Column) -> Column:
     """U8."""
     return F.array_distinct(domains)
-
-
-def even_places(n: Column, rounds: int) -> Column:
-    """Places n/2, then n/4 and 3n/4, then the odd eighths, round by round."""
-    shares = [(k, 2**power) for power in range(1, rounds + 1) for k in range(1, 2**power, 2)]
-    return F.array(*(F.floor(n * k / parts).cast("int") for k, parts in shares))

@@ -115,11 +115,11 @@ def render(template: str, values: dict[str, Column]) -> Column:
 
 def resolve_profiles(requests: DataFrame, clients: DataFrame, modes: DataFrame, profiles: DataFrame) -> DataFrame:
     """Requests (api_key, mode) with client_id, profile and error_code; a client's own choice wins, no other fallback."""
-    rows = requests.join(F.broadcast(clients), "api_key", "left").join(F.broadcast(modes), "mode", "left")
+    rows = requests.join(clients, "api_key", "left").join(modes, "mode", "left")
     choice = F.coalesce(F.try_element_at("model_overrides", F.col("mode")), F.col("default_profile"))
     rows = rows.withColumn("profile", choice)
     known = profiles.select(F.col("profile"), F.lit(True).alias("known"))
-    rows = rows.join(F.broadcast(known), "profile", "left")
+    rows = rows.join(known, "profile", "left")
     error = (
         F.when(F.col("client_id").isNull(), "unauthorized")
         .when(~F.col("enabled"), "client_disabled")
@@ -136,8 +136,17 @@ def active_versions(modes: DataFrame, active: DataFrame, versions: DataFrame) ->
     return chosen.select("subdir", F.coalesce("version", "default_version").alias("version"))
 
 
+#: Schemas of one mode, which every version is compared with.
+MAX_SCHEMAS = 1_000
+
+
 def schema_as_of(versions: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(version, schema): the schema of the greatest least version that isn't above; other names take the base schema."""
+    """(version, schema): the schema of the greatest least version that isn't above; other names take the base schema.
+
+    At most MAX_SCHEMAS schemas, counted before they are broadcast.
+    """
+    if schemas.limit(MAX_SCHEMAS + 1).count() > MAX_SCHEMAS:
+        raise ValueError(f"more than {MAX_SCHEMAS} schemas")
     rows = versions.withColumn("v", F.coalesce(t.version_number(F.col("version")), F.lit(0)))
     joined = rows.join(F.broadcast(schemas), F.col("v") >= F.col("min_version"))
     return joined.groupBy("version").agg(F.max_by("schema", "min_version").alias("schema"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -131,8 +133,12 @@ def _(spark, sf_dir):
 
 @query("w17_even_places", "select p_partkey, string_agg(floor(p_size * k / d)::int::varchar, ',' order by d, k) as places from part, (values (1, 2.0), (1, 4.0), (3, 4.0), (1, 8.0), (3, 8.0), (5, 8.0), (7, 8.0)) s(k, d) group by 1")
 def _(spark, sf_dir):
-    places = prompts.even_places(F.col("p_size"), 3)
-    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(places.cast("array<string>"), ",").alias("places"))
+    def places(batches):
+        for rows in batches:
+            rounds = [islice(planning.even_rounds(n), 3) for n in rows["p_size"]]
+            yield rows[["p_partkey"]].assign(places=[",".join(str(unit[0][0]) for tries in r for _, unit in tries) for r in rounds])
+
+    return _table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(places, "p_partkey long, places string")
 
 
 @query("n16_n18_context_blocks", """select c_custkey, case when c_custkey % 4 = 0 then '(none provided)' else 'document_type: ' || c_mktsegment || chr(10) || 'name: ' || c_name end as extraction,

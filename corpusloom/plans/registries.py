@@ -52,8 +52,8 @@ def _(spark, sf_dir):
     root = f"{shared_dir(spark)}/counted-{uuid.uuid4().hex}"
     counters = {"n": F.count("*"), "cents": F.sum("cents"), "last": F.max("o_orderkey")}
     metrics.write_counted(rows, f"{root}/rows", counters, f"{root}/metrics", "orders")
-    customers = spark.read.parquet(f"{root}/rows").agg(F.countDistinct("o_custkey").alias("customers"))
-    return spark.read.parquet(f"{root}/metrics").select("stage", "n", "cents", "last").join(customers)
+    customers = spark.read.parquet(f"{root}/rows").agg(F.countDistinct("o_custkey").alias("customers")).withColumn("stage", F.lit("orders"))
+    return spark.read.parquet(f"{root}/metrics").select("stage", "n", "cents", "last").join(customers, "stage")
 
 
 _DRAFTS = """d as (select p_partkey, 'mode_' || p_partkey % 9 as subdir,

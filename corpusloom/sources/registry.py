@@ -19,7 +19,7 @@ import os
 import uuid
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
@@ -115,10 +115,13 @@ def checked_drafts(drafts: DataFrame, modes: DataFrame, files: DataFrame, max_ch
         .when(F.length(content) > max_chars, "prompt_too_large")
         .when(F.col("taken").isNotNull(), "prompt_version_exists")
     )
-    rows = rows.withColumn("error_code", error)
-    order = Window.partitionBy("subdir", "version", F.col("error_code").isNull()).orderBy("content")
-    again = F.col("error_code").isNull() & (F.row_number().over(order) > 1)
-    return rows.withColumn("error_code", F.when(again, "prompt_version_exists").otherwise(F.col("error_code"))).drop("known", "taken")
+    # Equal drafts are counted first, so that many drafts for one version are partial sums, not one sorted group.
+    keys = ["subdir", "version", "content", "error_code"]
+    rows = rows.withColumn("error_code", error).groupBy(*keys).agg(F.count("*").cast("int").alias("copies"))
+    firsts = rows.filter("error_code is null").groupBy("subdir", "version").agg(F.min("content").alias("first"))
+    rows = rows.join(firsts, ["subdir", "version"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    again = F.col("error_code").isNull() & ((F.col("content") > F.col("first")) | (F.col("copy") > 1))
+    return rows.select("subdir", "version", "content", F.when(again, "prompt_version_exists").otherwise(F.col("error_code")).alias("error_code"))
 
 
 def put(spark: SparkSession, path: str, content: str, replace: bool = False) -> bool:
