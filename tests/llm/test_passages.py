@@ -198,3 +198,19 @@ def test_spans_equal_brute_force_over_windows():
         assert covered <= set().union(*(range(i, i + 50) for i in alike))
         found, missed = found + bool(alike and spans), missed + bool(alike and not spans)
     assert found > 60 and missed <= 0.02 * found
+
+
+def test_each_round_has_a_leader_of_its_own(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(d, f"a{d} b{d} {passage} c{d} d{d}") for d in range(1, 7)], "doc_id long, text string")
+    leads = []
+
+    def nothing_found(members, texts):
+        leads.append({r["lead"] for r in members.select("lead").distinct().collect()})
+        return spark.createDataFrame([], "uid long, lead long, start long, end long")
+
+    monkeypatch.setattr(passages, "_near", nothing_found)
+    _, spans = passages.repeated_spans(docs)
+    assert leads[0] == {1} and leads[1] == {2} and leads[2] == {3}
+    # the exact round still sees every text that is open
+    assert {(r["uid"], r["lead"]) for r in spans.collect()} == {(d, 1) for d in range(2, 7)}
