@@ -1,5 +1,6 @@
 """Folds, files, calls, checks and streams by small cases."""
 
+import itertools
 import json
 
 import numpy as np
@@ -218,3 +219,27 @@ def test_nothing_else_imports_the_training_data_operators():
 
     root = Path(__file__).resolve().parent.parent / "corpusloom"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "corpusloom.llm" in p.read_text()]
+
+
+def test_guards_let_nothing_through(spark):
+    """Texts and lines of every character that is cleaned, and of gaps and rules, come out as by the expressions without guards."""
+    marks = [chr(c) for c in range(0x3100)] + [chr(c) for c in range(0xFB00, 0xFB10)] + ["\ufeff", "\U0001f600"]
+    texts = spark.createDataFrame([(f"a{c}b",) for c in marks], "x string")
+    plain = t.clean_characters(t.unify_line_ends(F.col("x")))
+    assert texts.filter(~plain.eqNullSafe(t.clean_text(F.col("x")))).isEmpty()
+    parts = ["", "a", "..", "._", ". ", "· ", "--", "-=", "\t", "  ", " ", "•", "**", "__", "."]
+    lines_ = spark.createDataFrame([("".join(x),) for x in itertools.product(parts, repeat=4)], "x string")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("x", t.LEADER, "..."), t.RULE_RUN, "$1$1$1"), t.COLUMN_GAP, "  ")
+    assert lines_.filter(F.trim(bare) != t.collapse_line(F.col("x"))).isEmpty()
+    spaces = spark.createDataFrame([(f"a{c}b {c}{c} {c}",) for c in marks], "x string")
+    assert spaces.filter(F.regexp_replace("x", t.exact(r"\s+"), " ") != t.squeeze(F.col("x"))).isEmpty()
+    share = t.meaningful_chars(F.col("x"))
+    noise = (F.length("x") > 0) & (F.translate("x", t.MEANINGFUL, "") == F.col("x")) & ((share == 0) | ((F.length("x") >= 6) & (share < F.lit(0.25) * F.length("x"))))
+    for rows in (texts, lines_, spaces):
+        assert rows.filter(~noise.eqNullSafe(t.is_symbol_noise(F.col("x")))).isEmpty()
+
+
+def test_a_filter_does_not_collapse_lines_again(spark):
+    docs = spark.createDataFrame([(1, "a  b")], "doc_id long, text string")
+    rows = lines.clean_lines(lines.explode_lines(docs))
+    assert rows.filter("length(line) > 2 and line <> 'x'")._jdf.queryExecution().optimizedPlan().toString().count(t.RULE_RUN[:6]) == 1
