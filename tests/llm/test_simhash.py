@@ -98,3 +98,19 @@ def test_rows_of_one_id_with_other_texts_all_stay(spark):
     rows = [(1, a, "x"), (1, a, "x"), (1, b, "y"), (2, a + " more", "z"), (3, c, "w"), (None, c, "v")]
     got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, node string")).collect())
     assert got == sorted([("1", a), ("1", b), ("3", c), ("None", c)])
+
+
+def test_near_fingerprints_are_near_duplicates(spark):
+    """The pipeline's stage links what op9 links, also where few of the distinct shingles are equal."""
+    rnd = random.Random(6)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    rows = []
+    for d in range(0, 40, 2):
+        song = " ".join([text(11)] * 41)
+        rows += [(d, song), (d + 1, song + " " + text(12))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r["component_id"] for r in simhash.near_prints(docs).collect()}
+    assert len(set(want.values())) < 30
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert got == want
+    assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == set(want.values())
