@@ -214,3 +214,25 @@ def test_each_round_has_a_leader_of_its_own(spark, monkeypatch):
     assert leads[0] == {1} and leads[1] == {2} and leads[2] == {3}
     # the exact round still sees every text that is open
     assert {(r["uid"], r["lead"]) for r in spans.collect()} == {(d, 1) for d in range(2, 7)}
+
+
+def test_counted_places_give_the_same_passages_as_sorted_sets():
+    """Passages whose shingles occur once are counted by places; the verdict is that of the sets."""
+    rng = np.random.default_rng(3)
+    seen = {True: 0, False: 0}
+    for k in range(60):
+        w = rng.integers(0, 60 if k % 3 == 0 else 10**9, int(rng.integers(60, 400))).tolist()
+        v = list(w)
+        for _ in range(int(rng.integers(1, 12))):
+            at = int(rng.integers(0, len(v)))
+            v[at : at + int(rng.integers(0, 3))] = rng.integers(0, 10**9, int(rng.integers(0, 3))).tolist()
+        a, b = (np.array(passages.shingle_hashes(np.array(x, np.uint64))) for x in (v, w))
+        known = passages._Places(a, b, passages.LENGTH)
+        for offset in (-3, 0, 1, 40):
+            at = np.arange(max(0, offset), max(0, offset, min(len(a), len(b) + offset) - passages.LENGTH + 1))
+            at = at[~(known.mixed[0][at] | known.mixed[1][at - offset])]
+            got = known.alike(at, offset, passages.SIMILARITY)
+            assert (got == passages._alike(a, b, at, offset, passages.LENGTH, passages.SIMILARITY)).all()
+            for x in got.tolist():
+                seen[x] += 1
+    assert min(seen.values()) > 500
