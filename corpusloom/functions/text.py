@@ -74,6 +74,30 @@ def has_any(text: Column, literals: tuple[str, ...]) -> Column:
     return reduce(or_, (F.contains(text, F.lit(x)) for x in literals))
 
 
+def _folds() -> dict[str, str]:
+    """Characters that patterns regardless of case take for another one than their lower case."""
+    every = [chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000]
+    found = {c: c.upper().lower() for c in every if len(c.upper()) == 1 and len(c.upper().lower()) == 1 and c.upper().lower() != c.lower()}
+    return found | {"\u0130": "i", "\u03a3": "\u03c3"}  # lower case makes two characters of the one, and looks at what follows the other
+
+
+_FOLDS = _folds()
+#: What the bytes of all these begin with, but for no dash, quote, euro sign or letter of Latin-1: without any, lower case is all.
+_FOLD_BYTES = sorted({b"\xc2\xb5", *(c.encode()[:1] for c in _FOLDS if c != "µ")})
+
+
+def fold_case(text: Column) -> Column:
+    """Text in which a pattern in lower case matches at the places where it matches regardless of case: one character for each."""
+    raw = text.cast("binary")
+    odd = reduce(or_, (F.contains(raw, F.lit(x)) for x in _FOLD_BYTES))
+    return F.lower(F.when(odd, F.translate(text, "".join(_FOLDS), "".join(_FOLDS.values()))).otherwise(text))
+
+
+def fold(literal: str) -> str:
+    """fold_case of one string, on the driver."""
+    return "".join(_FOLDS.get(c, c) for c in literal).lower()
+
+
 def unify_line_ends(text: Column) -> Column:
     """Every line separator as a line feed; form feeds stay."""
     return F.regexp_replace(text, LINE_ENDS, "\n")

@@ -243,3 +243,17 @@ def test_a_filter_does_not_collapse_lines_again(spark):
     docs = spark.createDataFrame([(1, "a  b")], "doc_id long, text string")
     rows = lines.clean_lines(lines.explode_lines(docs))
     assert rows.filter("length(line) > 2 and line <> 'x'")._jdf.queryExecution().optimizedPlan().toString().count(t.RULE_RUN[:6]) == 1
+
+
+def test_folded_text_matches_where_the_text_matches_regardless_of_case(spark):
+    """Patterns in lower case on the folded text find what they find regardless of case; the text is folded once, not for every literal."""
+    words = ["PREIS", "Straße STRAẞE", "ſite", "Kunde", "KİNDE kınde", "GERÄTE-NR 5", "xkunde", "Kunde:", "ΣΑΣ ΣΑΣ", "ﬁnanz", "µ Μ", "5 EUR", "1.2.2024", "Mai 3, 2024", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(words)], "block_no int, chunk string")
+    patterns = ("preis", r"\bkunde\b", "straße", "kinde", "kunde", r"ser|site", r"\bsite\b", r"geräte[- ]?nr\b", "σασ", "fi", "μ", scoring.AMOUNT, scoring.DATE, r"Σ\S\b")
+    folded = rows.withColumn("f", t.fold_case(F.col("chunk")))
+    got = folded.select("block_no", scoring._hits(patterns, "chunk", "f").alias("x")).collect()
+    want = rows.select("block_no", F.array(*(F.col("chunk").rlike(t.folded(p)).cast("int") for p in patterns)).alias("x")).collect()
+    assert dict(got) == dict(want)
+    assert all(t.fold(w) == f for w, f in zip(words, (r.f for r in folded.orderBy("block_no").collect())) if w)
+    plan = scoring.score(rows.withColumn("doc_id", F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 2
