@@ -37,3 +37,11 @@ def test_edges(clash, edge, empty):
     assert [r["decoded_"] for r in rows] == [r["text"] or "" for r in edge.collect()]
     assert bpe.decode(bpe.encode(empty)).count() == 0
     assert bpe.merge_symbols([], {}, []) == []
+
+
+def test_a_worker_remembers_no_more_words_than_the_cache_has_room_for():
+    cache = bpe._Cache(str.encode, 100)
+    for i in range(1000):
+        assert cache.get(f"w{i}") == f"w{i}".encode()
+        assert len(cache._young) + len(cache._old) <= 100
+    assert cache.all(["w999", "w1", "w990"]) == [b"w999", b"w1", b"w990"]
