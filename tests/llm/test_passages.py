@@ -236,3 +236,60 @@ def test_counted_places_give_the_same_passages_as_sorted_sets():
             for x in got.tolist():
                 seen[x] += 1
     assert min(seen.values()) > 500
+
+
+def test_no_leader_hides_a_near_passage_around_a_frequent_line(spark):
+    """Near passages around a line that 160 texts share: what shares a signature and is similar is found, however many texts come before."""
+    rnd = random.Random(31)
+    words = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    line, rows = words(36), []
+    for k in range(80):
+        before, after = words(8), words(8)
+        near = [*before, *line, *after]
+        for at in rnd.sample([*range(1, 7), *range(46, 51)], 1):
+            near[at] = words(1)[0]
+        rows += [(k, " ".join([*words(20), *before, *line, *after, *words(20)])), (1000 + k, " ".join([*words(30), *near, *words(10)]))]
+    with np.errstate(over="ignore"):
+        at, key, packed = passages.signatures([t.encode() for _, t in rows])
+    held, want = defaultdict(list), set()
+    for a, k, p in zip(at.tolist(), key.tolist(), packed.tolist()):
+        held[k].append((rows[a][0], p >> 12, p >> 6 & 63, p & 63))
+    shingles = {d: windows(t.split()) for d, t in rows}
+    for group in held.values():
+        for d, c, lo, hi in group:
+            for other, c2, lo2, hi2 in group:
+                for back in range(max(hi, hi2), min(lo, lo2) + 1) if other < d else ():
+                    a, b = shingles[d][c - back], shingles[other][c2 - back]
+                    if len(a & b) >= 0.8 * len(a | b):
+                        want.add((d, c - back))
+    got = {r["doc_id"]: r["spans"] for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({d for d, _ in want}) > 60
+    assert all(any(s["start"] <= i + 5 and i + 45 <= s["end"] for s in got.get(d, [])) for d, i in want)
+
+
+def test_cells_find_the_first_similar_row_of_every_start(monkeypatch):
+    """_meet against sets of shingles, in pieces of any size."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    width, n = 2 * passages._REACH + 1, 30
+    base = rng.integers(1, 1 << 32, width)
+    near = np.array([np.where(rng.random(width) < (0.02, 0.06, 0.2)[k % 3], rng.integers(1, 1 << 32, width), base) for k in range(n)], np.uint32)
+    packed = np.array([(100 + k) << 12 | int(rng.integers(20, 46)) << 6 | int(rng.integers(0, 20)) for k in range(n)])
+    want = set()
+    for u in range(n):
+        for back in range(packed[u] & 63, (packed[u] >> 6 & 63) + 1):
+            for v in range(u):
+                if packed[v] & 63 <= back <= packed[v] >> 6 & 63:
+                    a, b = (set(near[x, passages._REACH - back : passages._REACH - back + passages.LENGTH].tolist()) for x in (u, v))
+                    if len(a & b) >= passages.SIMILARITY * len(a | b):
+                        want.add((u, 100 + u - back, v, u - v))
+                        break
+    rows = [{"asks": asks, "uid": u, "packed": int(packed[u]), "near": near[u].tobytes()} for u in range(n) for asks in (True, False)]
+    kind = pa.list_(pa.struct([("asks", pa.bool_()), ("uid", pa.int64()), ("packed", pa.int64()), ("near", pa.binary())]))
+    for pairs, checked in ((32_768, 4096), (50, 7)):
+        monkeypatch.setattr(passages, "PAIRS", pairs)
+        monkeypatch.setattr(passages, "CHECKED", checked)
+        found = [b.to_pylist() for b in passages._meet(iter([pa.RecordBatch.from_arrays([pa.array([rows], kind)], ["rows"])]))]
+        assert {(r["uid"], r["start"], r["lead"], r["offset"]) for part in found for r in part} == want
+    assert len(want) > 20
