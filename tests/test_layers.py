@@ -286,3 +286,23 @@ def test_one_pass_over_a_document_gives_what_the_chain_of_windows_gives(spark):
     for docs in (odd, synthetic.view(spark, "/root/testdata/sf0.001", synthetic.CONTRACTS)):
         want = {r["doc_id"]: r["normalized"] for r in lines.normalize_by_windows(docs).collect()}
         assert len(want) > 100 and {r["doc_id"]: r["normalized"] for r in whole.normalize(docs).collect()} == want
+
+
+def test_scores_of_one_call_are_those_of_the_expressions(spark):
+    """scoring.score against score_by_expressions: odd letters, headings, empty and null blocks, upper case."""
+    import random
+
+    rnd = random.Random(6)
+    some = [
+        "§ 1 Vertragsgegenstand", "VERTRAGSNUMMER: WV-12", "Kunden-Nr. 7", "kundennr²", "Die Laufzeit beträgt 12 Monate", "KÜNDIGUNGSFRIST", "Kündigungſfrist", "verlängert sich stillschweigend", "1.200,00 € netto", "€5", "chf 7", "monatlich fällig",
+        "Standort : Haus", "Serien-Nr. SN-4", "Ser.-Nr. 8", "Aufzug", "GEBÄUDE", "Gebäudé", "01.02.2024", "1. März 2024", "March 3, 2024", "Ansprechpartner", "contract no 5", "S/N 4", "İnvoice", "Straße", "STRASSE", "end date", "notice period", "Rechnung²", "日本", "x",
+    ]
+    rows = [(0, 0, None), (1, 0, ""), (2, 0, "\n"), (3, 0, "Vertragspartner\n")]
+    for k in range(400):
+        rows.append((k, 1, rnd.choice(("\n", " ", ", ")).join(rnd.choice(some) for _ in range(rnd.randint(1, 9)))))
+    blocks = spark.createDataFrame(rows, "doc_id long, block_no int, chunk string").repartition(4)
+    for groups in scoring.VARIANTS.values():
+        found, want = (f(blocks, groups) for f in (scoring.score, scoring.score_by_expressions))
+        assert found.columns == want.columns
+        key = lambda r: (r["doc_id"], r["block_no"], r["grp_no"])
+        assert sorted(found.collect(), key=key) == sorted(want.collect(), key=key)
